@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from vectrail.llm.op2_license_scan import op2_license_scan
+from vectrail.llm.op3_quality import op3_quality
 from vectrail.llm.op4_token_codes import op4_token_codes
+from vectrail.llm.op7_pii import op7_pii
 
-QUERIES = {f.__name__: f for f in (op4_token_codes,)}
+QUERIES = {f.__name__: f for f in (op2_license_scan, op3_quality, op4_token_codes, op7_pii)}
 SQL: dict[str, str] = {}
