@@ -122,3 +122,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def null_safe_text(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, F.coalesce("text", F.lit("")).alias("text"))
+
+
+def hash_texts(texts: list[str]) -> np.ndarray:
+    """Signed 64-bit hash of each text."""
+    raw = [t.encode() for t in texts]
+    ends = np.cumsum([len(r) for r in raw])
+    data = np.frombuffer(b"".join(raw), np.uint8)
+    return span_hash(prefix_hash(data), ends - [len(r) for r in raw], ends).view(np.int64)
