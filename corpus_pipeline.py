@@ -1,8 +1,49 @@
-"""Corpus preparation in stages."""
+"""Corpus preparation in stages: quality, near duplicates, benchmark leaks, personal data, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), works on all rows that the stage before kept, and its result is written as
+Parquet and read again as the next one's docs. All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from vectrail.llm import op3_quality, op5_ngram_join, op6_packing, op7_pii, op10_decontaminate
+from vectrail.llm.common import table, written
+
+
+def quality(spark, docs, sf_dir):
+    """Documents that the classifier accepts; it is fitted on the labelled rows outside the held-out fold."""
+    machine = op3_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return op3_quality.keep_good(docs, machine)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near copies: five-word grams, similarity 0.8."""
+    return op5_ngram_join.keep_one(docs, 5, 80, 100)
+
+
+def benchmark_leaks(spark, docs, sf_dir):
+    """Documents without passages of the benchmark."""
+    return op10_decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def personal_data(spark, docs, sf_dir):
+    """All documents, identifiers replaced by their kind."""
+    return op7_pii.redact(docs)
+
+
+def packing(spark, docs, sf_dir):
+    """Every piece of every document, with its bucket, batch and slot."""
+    return op6_packing.pack(written(op6_packing.token_lengths(docs), "token-lengths"))
+
+
+STAGES = [("quality", quality), ("near_duplicates", near_duplicates), ("benchmark_leaks", benchmark_leaks), ("personal_data", personal_data), ("packing", packing)]
+
+#: Stages use a fitted model, connected components and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

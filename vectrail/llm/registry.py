@@ -12,6 +12,7 @@ from vectrail.llm.op5_ngram_join import op5_ngram_join
 from vectrail.llm.op6_packing import op6_packing
 from vectrail.llm.op7_pii import op7_pii
 from vectrail.llm.op8_site_style import op8_site_style
+from vectrail.llm.op9_suffix_dedup import op9_suffix_dedup
 
-QUERIES = {f.__name__: f for f in (op1_anisotropic, op2_license_scan, op3_quality, op4_token_codes, op5_ngram_join, op6_packing, op7_pii, op8_site_style, op10_decontaminate)}
+QUERIES = {f.__name__: f for f in (op1_anisotropic, op2_license_scan, op3_quality, op4_token_codes, op5_ngram_join, op6_packing, op7_pii, op8_site_style, op9_suffix_dedup, op10_decontaminate)}
 SQL: dict[str, str] = {"op1_anisotropic": op1.SQL}
