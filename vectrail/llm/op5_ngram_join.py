@@ -25,8 +25,9 @@ from vectrail.llm.components import components
 
 N, NUM, DEN = 4, 85, 100
 #: Buckets of the gram counts; the table has this many 4-byte counts at any size of the corpus.
-COUNT_BUCKETS_LOG2 = 20
+COUNT_BUCKETS_LOG2 = 21
 PIECE = 1 << 12
+PARITY_BITS = 512
 #: Rows needed for verification are picked by broadcast up to this number of ids, else by a shuffled join.
 BROADCAST_IDS = 1_000_000
 SPACE = np.zeros(256, bool)
@@ -66,17 +67,29 @@ def batch_sets(b, column: int, n: int):
         yield lo, hi - lo, *gram_sets(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo], n)
 
 
-def set_hash(rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(size, class hash, parity word) of each row's set."""
+def set_hash(rows: np.ndarray, grams: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(size, class hash) of each row's set."""
     size = np.bincount(rows, minlength=n)
     if not len(rows):
-        return size, np.zeros(n, np.int64), np.zeros(n, np.int64)
+        return size, np.zeros(n, np.int64)
     starts = np.searchsorted(rows, np.arange(n))
     some = size > 0
-    total, parity = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
+    total = np.zeros(n, np.uint64)
     total[some] = np.add.reduceat(mix(grams ^ M1), starts[some])
-    parity[some] = np.bitwise_xor.reduceat(np.uint64(1) << (grams >> np.uint64(58)), starts[some])
-    return size, mix(total + size.astype(np.uint64)).view(np.int64), parity.view(np.int64)
+    return size, mix(total + size.astype(np.uint64)).view(np.int64)
+
+
+def parities(rows: np.ndarray, grams: np.ndarray, n: int) -> list[bytes]:
+    """For each row PARITY_BITS bits: whether an odd number of its grams falls to the bit. Two rows' differing bits are
+    no more than the grams that only one of them has."""
+    out = []
+    for lo in range(0, n, 1024):
+        hi = min(n, lo + 1024)
+        part = slice(*np.searchsorted(rows, (lo, hi)))
+        bit = (grams[part] >> np.uint64(20)).astype(np.int64) % PARITY_BITS
+        odd = np.bincount((rows[part] - lo) * PARITY_BITS + bit, minlength=(hi - lo) * PARITY_BITS) & 1
+        out += [r.tobytes() for r in np.packbits(odd.astype(np.uint8).reshape(hi - lo, PARITY_BITS), axis=1)]
+    return out
 
 
 def least_overlap(a, b, num: int, den: int):
@@ -123,10 +136,10 @@ def describe(docs: DataFrame, n: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for lo, k, rows, grams in batch_sets(b, 1, n):
-                size, sig, parity = set_hash(rows, grams, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(sig), pa.array(size.astype(np.int64)), pa.array(parity)], ["doc_id", "sig", "n_shingles", "parity"])
+                size, sig = set_hash(rows, grams, k)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(sig), pa.array(size.astype(np.int64)), pa.array(parities(rows, grams, k), pa.binary())], ["doc_id", "sig", "n_shingles", "parity"])
 
-    return null_safe_text(docs, "doc_id").mapInArrow(run, "doc_id long, sig long, n_shingles long, parity long")
+    return null_safe_text(docs, "doc_id").mapInArrow(run, "doc_id long, sig long, n_shingles long, parity binary")
 
 
 def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
@@ -139,7 +152,7 @@ def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) ->
             for _, k, rows, grams in batch_sets(b, 0, n):
                 if not len(rows):
                     continue
-                size, sig, _ = set_hash(rows, grams, k)
+                size, sig = set_hash(rows, grams, k)
                 order = np.lexsort((grams, held.value[bucket_of(grams)], rows))
                 starts = np.cumsum(size) - size
                 pos = np.arange(len(rows)) - starts[rows]
@@ -199,7 +212,7 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: i
     def run(batches):
         for b in batches:
             for lo, k, rows_, grams in batch_sets(b, 0, n):
-                size, sig, _ = set_hash(rows_, grams, k)
+                size, sig = set_hash(rows_, grams, k)
                 ends = np.cumsum(size)
                 raw = grams.tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([raw[8 * (e - s) : 8 * e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)], pa.binary())], ["sig", "grams"])
@@ -219,15 +232,15 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: i
     return both.mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, parities: DataFrame, num: int, den: int) -> DataFrame:
+def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups."""
-    rows = shared.join(parities, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", "parity", F.coalesce("root", "sig").alias("root"))
+    rows = shared.join(bits, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"), "parity")
     # Grams whose classes are all in one group have nothing to tell.
     mixed = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     dealt = rows.join(mixed, "gram").repartition("gram").sortWithinPartitions("gram", "size", "sig")
 
     def of_group(g):
-        gram, sig, size, pos, parity, root = g
+        _, sig, size, pos, root, parity = g
         n = len(sig)
         for i in range(n):
             # Sizes ascend, so partners by length are a run after i.
@@ -238,15 +251,20 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, parities: DataFrame, num: i
             j = j[root[j] != root[i]]
             need = least_overlap(size[i], size[j], num, den)
             bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
-            apart = np.bitwise_count((parity[j] ^ parity[i]).view(np.uint64)).astype(np.int64)
-            j = j[(bound >= need) & ((size[i] + size[j] - apart) >= 2 * need)]
+            near = bound >= need
+            j, need = j[near], need[near]
+            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            j = j[size[i] + size[j] - apart >= 2 * need]
             if len(j):
                 yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
 
     def run(batches):
         rest = None
         for b in batches:
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+            if not b.num_rows:
+                continue
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
+            cols.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(b.num_rows, -1))
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             other = np.nonzero(cols[0] != cols[0][-1])[0]
