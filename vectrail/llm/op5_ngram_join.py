@@ -27,7 +27,7 @@ N, NUM, DEN = 4, 85, 100
 #: Buckets of the gram counts; the table has this many 4-byte counts at any size of the corpus.
 COUNT_BUCKETS_LOG2 = 21
 PIECE = 1 << 12
-PARITY_BITS = 512
+PARITY_BITS = 2048
 #: Rows needed for verification are picked by broadcast up to this number of ids, else by a shuffled join.
 BROADCAST_IDS = 1_000_000
 SPACE = np.zeros(256, bool)
