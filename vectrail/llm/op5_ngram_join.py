@@ -1,22 +1,28 @@
 """N-gram Jaccard join: documents whose sets of word n-grams are similar, and the groups that such links form.
 
-Sets are ordered rarest first by the corpus counts of hash buckets (a table of fixed size), ties by hash. Two sets of
-similarity t share a gram among the first n - ceil(t n) + 1 of each (prefix filter), so only prefix grams are joined.
-Pairs are dropped whose sizes (length filter), places of the common gram (positional filter) or parities of the whole
-sets (suffix filter: their differing bits are a lower bound of the symmetric difference) rule the overlap out. What is left is
-verified on the whole sets, once per pair.
+Sets are ordered rarest first by how often each gram is held in the whole corpus, ties by hash. Two sets of similarity
+t share a gram among the first n - ceil(t n) + 1 of each (prefix filter), so only prefix grams are joined. Pairs are
+dropped whose sizes (length filter), places of the common gram (positional filter) or parities of the whole sets
+(suffix filter: their differing bits and their single grams are a lower bound of the symmetric difference) rule the
+overlap out. What is left is verified on the whole sets, once per pair.
+
+Grams are counted exactly. Tasks send them in sorted, compressed runs, one for each range of hashes and each chunk of
+sets; where a range is counted, grams held once are dropped and the others go back to their chunk with their counts.
+Grams held once come first in every order, so a set whose prefix is full of them has no partner and leaves here.
 
 Equal sets are one class from the start. For the groups, candidates are taken in two rounds: first each class
 with the one earlier class that shares most prefix grams with it, then all pairs that are still in different groups. A
 pair within a group cannot change the groups, so a cluster of m near copies costs about m verifications, not m * m.
 
-Sets are held as 64-bit hashes of their grams, and classes as the pair (64-bit hash of the set, its size).
+Sets are held as 64-bit hashes of their grams, and classes as the 64-bit hash of the set. Chunks are named by task and
+order, so docs must be a table that a repeated task reads in the same order (a Parquet scan is).
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,11 +30,12 @@ from vectrail.llm.common import documents, LOWER, M1, mix, null_safe_text, prefi
 from vectrail.llm.components import components
 
 N, NUM, DEN = 4, 85, 100
-#: Buckets of the gram counts; the table has this many 4-byte counts at any size of the corpus.
-COUNT_BUCKETS_LOG2 = 21
-PIECE = 1 << 12
-PARITY_BITS = 2048
-#: Rows needed for verification are picked by broadcast up to this number of ids, else by a shuffled join.
+#: Grams of a chunk of sets (a larger set is a chunk alone), and grams that a hash range has on average at most.
+CHUNK_GRAMS, RANGE_GRAMS = 1 << 20, 1 << 19
+PARITY_BITS = 512
+#: Counts are kept up to this number; commoner grams tie and are ordered by hash.
+MOST = 65535
+#: Ids to drop are broadcast up to this number, else a shuffled join follows.
 BROADCAST_IDS = 1_000_000
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -97,78 +104,195 @@ def least_overlap(a, b, num: int, den: int):
     return -(-num * (a + b) // (num + den))
 
 
-def bucket_of(grams: np.ndarray) -> np.ndarray:
-    return (grams >> np.uint64(64 - COUNT_BUCKETS_LOG2)).astype(np.int64)
-
+def packed(*columns: np.ndarray) -> bytes:
+    """Columns of one length, the first sorted, as differences and byte planes, compressed."""
+    first = np.diff(columns[0], prepend=columns[0].dtype.type(0))
+    planes = [np.ascontiguousarray(c).view(np.uint8).reshape(len(c), -1).T.tobytes() for c in (first, *columns[1:])]
+    return pa.compress(b"".join(planes), codec="zstd", asbytes=True)
 
-def gram_counts(docs: DataFrame, n: int) -> np.ndarray:
-    """How many sets hold a gram of each bucket. Tasks send dense pieces of the table, which are summed in a shuffle."""
 
-    def run(batches):
-        counts = np.zeros(1 << COUNT_BUCKETS_LOG2, np.int64)
-        for b in batches:
-            for _, _, _, grams in batch_sets(b, 0, n):
-                counts += np.bincount(bucket_of(grams), minlength=len(counts))
-        for i in range(0, len(counts), PIECE):
-            piece = counts[i : i + PIECE]
-            if piece.any():
-                yield pa.RecordBatch.from_arrays([pa.array([i // PIECE], pa.int32()), pa.array([piece.astype(np.int32).tobytes()], pa.binary())], ["piece", "counts"])
-
-    def total(batches):
-        sums: dict[int, np.ndarray] = {}
-        for b in batches:
-            for piece, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                sums[piece] = sums.get(piece, 0) + np.frombuffer(raw, np.int32).astype(np.int64)
-        if sums:
-            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([np.minimum(s, 2**31 - 1).astype(np.int32).tobytes() for s in sums.values()], pa.binary())], ["piece", "counts"])
-
-    schema = "piece int, counts binary"
-    pieces = null_safe_text(docs).mapInArrow(run, schema).repartition("piece").mapInArrow(total, schema).collect()
-    out = np.zeros(1 << COUNT_BUCKETS_LOG2, np.int32)
-    for r in pieces:
-        out[r.piece * PIECE : (r.piece + 1) * PIECE] = np.frombuffer(r.counts, np.int32)
+def unpacked(raw: bytes, n: int, *types) -> list[np.ndarray]:
+    widths = [np.dtype(t).itemsize for t in types]
+    data = np.frombuffer(pa.decompress(raw, n * sum(widths), codec="zstd", asbytes=True), np.uint8)
+    out, at = [], 0
+    for t, w in zip(types, widths, strict=True):
+        out.append(np.ascontiguousarray(data[at : at + n * w].reshape(w, n).T).view(t).ravel())
+        at += n * w
+    out[0] = np.cumsum(out[0], dtype=types[0])
     return out
 
 
 def describe(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, sig, n_shingles, parity) of every row."""
+    """(doc_id, sig, n_shingles) of every row."""
 
     def run(batches):
         for b in batches:
             for lo, k, rows, grams in batch_sets(b, 1, n):
                 size, sig = set_hash(rows, grams, k)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(sig), pa.array(size.astype(np.int64)), pa.array(parities(rows, grams, k), pa.binary())], ["doc_id", "sig", "n_shingles", "parity"])
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, k), pa.array(sig), pa.array(size.astype(np.int64))], ["doc_id", "sig", "n_shingles"])
+
+    return null_safe_text(docs, "doc_id").mapInArrow(run, "doc_id long, sig long, n_shingles long")
+
+
+RUN = "range long, chunk long, n int, data binary, sigs binary"
+
 
-    return null_safe_text(docs, "doc_id").mapInArrow(run, "doc_id long, sig long, n_shingles long, parity binary")
+def run_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], [f.split()[0] for f in RUN.split(", ")])
 
 
-def prefixes(docs: DataFrame, counts: np.ndarray, n: int, num: int, den: int) -> DataFrame:
-    """(gram, sig, size, pos) of the prefix grams of every class; a task sends a class once."""
-    held = docs.sparkSession.sparkContext.broadcast(counts)
+def gram_runs(docs: DataFrame, n: int, ranges_log2: int) -> DataFrame:
+    """For each chunk of sets a run of (gram, set) for each hash range, and a row with the chunk's classes and sizes.
+
+    A task sends a class once.
+    """
 
     def run(batches):
+        task, chunks = TaskContext.get().partitionId(), 0
         seen: set[int] = set()
+        held: list[tuple] = []
+        grams_held = sets_held = 0
+
+        def flush():
+            chunk = task << 32 | chunks
+            g, r = (np.concatenate([h[i] for h in held]) for i in (0, 1))
+            order = np.argsort(g)
+            g, r = g[order], r[order].astype(np.uint16)
+            at = (g >> np.uint64(64 - ranges_log2)).astype(np.int64) if ranges_log2 else np.zeros(len(g), np.int64)
+            edge = np.concatenate([[0], np.nonzero(np.diff(at))[0] + 1, [len(g)]]).tolist()
+            rows = [(int(at[x]), chunk, y - x, packed(g[x:y], r[x:y]), None) for x, y in zip(edge[:-1], edge[1:], strict=True)]
+            sigs, sizes = (np.concatenate([h[i] for h in held]) for i in (2, 3))
+            rows.append((chunk & ((1 << ranges_log2) - 1), chunk, len(sigs), None, sigs.astype(np.int64).tobytes() + sizes.astype(np.int64).tobytes()))
+            for i in range(0, len(rows), 4096):
+                yield run_batch(rows[i : i + 4096])
+
         for b in batches:
             for _, k, rows, grams in batch_sets(b, 0, n):
-                if not len(rows):
-                    continue
                 size, sig = set_hash(rows, grams, k)
-                order = np.lexsort((grams, held.value[bucket_of(grams)], rows))
-                starts = np.cumsum(size) - size
-                pos = np.arange(len(rows)) - starts[rows]
                 fresh = np.zeros(k, bool)
                 for i in np.nonzero(size)[0].tolist():
-                    s = int(sig[i])
-                    if s not in seen:
+                    if (s := int(sig[i])) not in seen:
                         seen.add(s)
                         fresh[i] = True
                 if len(seen) > 2_000_000:
                     seen.clear()
-                keep = fresh[rows] & (pos < size[rows] - -(-num * size[rows] // den) + 1)
-                r = rows[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(grams[order][keep].view(np.int64)), pa.array(sig[r]), pa.array(size[r].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], ["gram", "sig", "size", "pos"])
+                new = int(fresh.sum())
+                if not new:
+                    continue
+                keep = fresh[rows]
+                if held and (grams_held + int(keep.sum()) > CHUNK_GRAMS or sets_held + new > 1 << 16):
+                    yield from flush()
+                    held, grams_held, sets_held, chunks = [], 0, 0, chunks + 1
+                number = np.cumsum(fresh) - 1 + sets_held
+                held.append((grams[keep], number[rows[keep]], sig[fresh], size[fresh]))
+                grams_held, sets_held = grams_held + int(keep.sum()), sets_held + new
+        if held:
+            yield from flush()
+
+    return null_safe_text(docs).mapInArrow(run, RUN)
+
 
-    return null_safe_text(docs).mapInArrow(run, "gram long, sig long, size int, pos int")
+def of_key(batches, key: int):
+    """Rows of batches sorted by a column, as lists of those with one value of it."""
+    now, rows = None, []
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            if rows and row[key] != now:
+                yield rows
+                rows = []
+            now = row[key]
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def counted(runs_: DataFrame) -> DataFrame:
+    """The runs without the grams that are held once, each gram with its count; rows with classes as they are."""
+
+    def run(batches):
+        for rows in of_key(batches, 0):
+            out = [r for r in rows if r[3] is None]
+            rows = [r for r in rows if r[3] is not None]
+            if rows:
+                parts = [unpacked(r[3], r[2], np.uint64, np.uint16) for r in rows]
+                g = np.concatenate([p[0] for p in parts])
+                order = np.argsort(g)
+                s = g[order]
+                edge = np.concatenate([[0], np.nonzero(s[1:] != s[:-1])[0] + 1, [len(s)]])
+                count = np.empty(len(g), np.int64)
+                count[order] = np.repeat(np.diff(edge), np.diff(edge))
+                at = 0
+                for r, (grams, sets) in zip(rows, parts, strict=True):
+                    c = count[at : at + len(grams)]
+                    at += len(grams)
+                    more = c > 1
+                    if more.any():
+                        out.append((r[0], r[1], int(more.sum()), packed(grams[more], sets[more], np.minimum(c[more], MOST).astype(np.uint16)), None))
+            for i in range(0, len(out), 1024):
+                yield run_batch(out[i : i + 1024])
+
+    return runs_.repartition("range").sortWithinPartitions("range").mapInArrow(run, RUN)
+
+
+def candidates(runs_: DataFrame, num: int, den: int) -> DataFrame:
+    """(sig, size, single, grams, parity) of the classes whose prefix holds a gram that is held twice.
+
+    grams has those held twice at least, rarest first; single is the number of the others, which come before them.
+    """
+
+    def run(batches):
+        for rows in of_key(batches, 1):
+            (k, classes), = [(r[2], np.frombuffer(r[4], np.int64)) for r in rows if r[4] is not None]
+            parts = [unpacked(r[3], r[2], np.uint64, np.uint16, np.uint16) for r in rows if r[4] is None]
+            if not parts:
+                continue
+            sigs, sizes = classes[:k], classes[k:]
+            g, r, c = (np.concatenate([p[i] for p in parts]) for i in range(3))
+            several = np.bincount(r, minlength=k)
+            live = (several > 0) & (sizes - several < sizes - -(-num * sizes // den) + 1)
+            keep = live[r]
+            g, r, c = g[keep], r[keep], c[keep]
+            order = np.lexsort((g, c, r))
+            g, number = g[order], (np.cumsum(live) - 1)[r[order]]
+            ends = np.cumsum(several[live])
+            for lo in range(0, int(live.sum()), 1024):
+                hi = min(lo + 1024, len(ends))
+                x, y = (int(ends[lo - 1]) if lo else 0), int(ends[hi - 1])
+                raw = g[x:y].tobytes()
+                cuts = [8 * (int(e) - x) for e in ends[lo:hi]]
+                which = np.nonzero(live)[0][lo:hi]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(sigs[which]),
+                        pa.array(sizes[which]),
+                        pa.array(sizes[which] - several[which]),
+                        pa.array([raw[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)], pa.binary()),
+                        pa.array(parities(number[x:y] - lo, g[x:y], hi - lo), pa.binary()),
+                    ],
+                    ["sig", "size", "single", "grams", "parity"],
+                )
+
+    schema = "sig long, size long, single long, grams binary, parity binary"
+    return runs_.repartition("chunk").sortWithinPartitions("chunk").mapInArrow(run, schema).dropDuplicates(["sig"])
+
+
+def prefixes(sets: DataFrame, num: int, den: int) -> DataFrame:
+    """(gram, sig, size, pos) of the prefix grams of every candidate class, but for those held once."""
+
+    def run(batches):
+        for b in batches:
+            sig, size, single = (b.column(i).to_numpy() for i in range(3))
+            many = size - -(-num * size // den) + 1 - single
+            grams = [np.frombuffer(v.as_buffer(), np.int64)[:m] for v, m in zip(b.column(3), many.tolist(), strict=True)]
+            held = np.array([len(x) for x in grams], np.int64)
+            if not held.sum():
+                continue
+            row = np.repeat(np.arange(len(held)), held)
+            pos = np.arange(len(row)) - (np.cumsum(held) - held)[row] + single[row]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams)), pa.array(sig[row]), pa.array(size[row].astype(np.int32)), pa.array(pos.astype(np.int32))], ["gram", "sig", "size", "pos"])
+
+    return sets.select("sig", "size", "single", "grams").mapInArrow(run, "gram long, sig long, size int, pos int")
 
 
 def shared_postings(postings: DataFrame) -> DataFrame:
@@ -202,31 +326,18 @@ def shared_postings(postings: DataFrame) -> DataFrame:
     return postings.repartition("gram").sortWithinPartitions("gram", "size", "sig").mapInArrow(run, postings.schema)
 
 
-def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets, read again from the texts of their first documents, are similar."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("sig")).distinct()
-    ids = written(needed.join(classes, "sig").select("rep"), "needed")
-    few = ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    rows = null_safe_text(docs.where("doc_id IS NOT NULL"), "doc_id").join((F.broadcast(ids) if few else ids).withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-
-    def run(batches):
-        for b in batches:
-            for lo, k, rows_, grams in batch_sets(b, 0, n):
-                size, sig = set_hash(rows_, grams, k)
-                ends = np.cumsum(size)
-                raw = grams.tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array([raw[8 * (e - s) : 8 * e] for s, e in zip(size.tolist(), ends.tolist(), strict=True)], pa.binary())], ["sig", "grams"])
-
-    sets = written(rows.select("text").mapInArrow(run, "sig long, grams binary").dropDuplicates(["sig"]), "sets")
-    both = pairs.join(sets.select(F.col("sig").alias("a"), F.col("grams").alias("ga")), "a").join(sets.select(F.col("sig").alias("b"), F.col("grams").alias("gb")), "b").select("a", "b", "ga", "gb")
+def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b) of classes whose whole sets are similar: what two of them share is among the grams held twice."""
+    side = lambda k: sets.select(F.col("sig").alias(k), F.col("size").alias(f"s{k}"), F.col("grams").alias(f"g{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ga", "gb")
 
     def compare(batches):
         for b in batches:
             ok = []
-            for x, y in zip(b.column(2), b.column(3), strict=True):
-                x, y = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                ok.append(den * common >= num * (len(x) + len(y) - common))
+            total = b.column(2).to_numpy() + b.column(3).to_numpy()
+            for t, x, y in zip(total.tolist(), b.column(4), b.column(5), strict=True):
+                common = len(np.intersect1d(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64), assume_unique=True))
+                ok.append(den * common >= num * (t - common))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return both.mapInArrow(compare, "a long, b long")
@@ -234,13 +345,13 @@ def verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, n: int, num: i
 
 def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
     """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups."""
-    rows = shared.join(bits, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"), "parity")
+    rows = shared.join(bits, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"), "single", "parity")
     # Grams whose classes are all in one group have nothing to tell.
     mixed = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
     dealt = rows.join(mixed, "gram").repartition("gram").sortWithinPartitions("gram", "size", "sig")
 
     def of_group(g):
-        _, sig, size, pos, root, parity = g
+        _, sig, size, pos, root, single, parity = g
         n = len(sig)
         for i in range(n):
             # Sizes ascend, so partners by length are a run after i.
@@ -250,10 +361,11 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
                 continue
             j = j[root[j] != root[i]]
             need = least_overlap(size[i], size[j], num, den)
-            bound = np.minimum(pos[i], pos[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
+            # Grams held once come first and are never common.
+            bound = np.minimum(pos[i] - single[i], pos[j] - single[j]) + np.minimum(size[i] - pos[i], size[j] - pos[j])
             near = bound >= need
             j, need = j[near], need[near]
-            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64)
+            apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64) + single[j] + single[i]
             j = j[size[i] + size[j] - apart >= 2 * need]
             if len(j):
                 yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
@@ -263,8 +375,8 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(5)]
-            cols.append(np.frombuffer(b"".join(b.column(5).to_pylist()), np.uint64).reshape(b.num_rows, -1))
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(6)]
+            cols.append(np.frombuffer(b"".join(b.column(6).to_pylist()), np.uint64).reshape(b.num_rows, -1))
             if rest is not None:
                 cols = [np.concatenate(x) for x in zip(rest, cols, strict=True)]
             other = np.nonzero(cols[0] != cols[0][-1])[0]
@@ -303,18 +415,21 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     component of their text but never name one; equal rows are linked to each other.
     """
     described = written(describe(docs, n), "described")
-    classes = written(described.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("size"), F.first("parity").alias("parity")), "classes")
-    shared = written(shared_postings(prefixes(docs, gram_counts(docs, n), n, num, den)), "shared")
+    classes = described.where("n_shingles > 0").groupBy("sig").agg(F.min("doc_id").alias("rep"))
+    total = described.agg(F.sum("n_shingles")).first()[0] or 0
+    ranges_log2 = min(24, (total // RANGE_GRAMS).bit_length())
+    sets = written(candidates(counted(gram_runs(docs, n, ranges_log2)), num, den), "sets")
+    shared = written(shared_postings(prefixes(sets, num, den)), "shared")
     before = Window.partitionBy("gram").orderBy("size", "sig")
     near = shared.select(F.lag("sig").over(before).alias("a"), F.lag("size").over(before).alias("a_size"), F.col("sig").alias("b"), "size").where(F.col("a").isNotNull() & (den * F.col("a_size") >= num * F.col("size")))
     # A gram that few classes share says most about a pair, and in such a group neighbours are few.
     best = near.groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     first = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
-    links = written(verify(docs, classes, first, n, num, den), "first-links")
+    links = written(verify(sets, first, num, den), "first-links")
     roots = components(links)
-    rest = cross_pairs(shared, roots, classes.select("sig", "parity"), num, den).join(first, ["a", "b"], "left_anti")
+    rest = cross_pairs(shared, roots, sets.select("sig", "single", "parity"), num, den).join(first, ["a", "b"], "left_anti")
     rest = written(rest, "other-pairs")
-    more = written(verify(docs, classes, rest, n, num, den), "other-links")
+    more = written(verify(sets, rest, num, den), "other-links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
     named = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
