@@ -10,9 +10,10 @@ Grams are counted exactly. Tasks send them in sorted, compressed runs, one for e
 sets; where a range is counted, grams held once are dropped and the others go back to their chunk with their counts.
 Grams held once come first in every order, so a set whose prefix is full of them has no partner and leaves here.
 
-Equal sets are one class from the start. For the groups, candidates are taken in two rounds: first each class
-with the one earlier class that shares most prefix grams with it, then all pairs that are still in different groups. A
-pair within a group cannot change the groups, so a cluster of m near copies costs about m verifications, not m * m.
+Equal sets are one class from the start. For the groups, candidates are taken in rounds: first each class with the one
+earlier class that shares most prefix grams with it, then the likeliest pair of every two groups until none of them
+links, then all pairs that are still in different groups. A pair within a group cannot change the groups, so a cluster
+of m near copies costs about m verifications, not m * m.
 
 Sets are held as 64-bit hashes of their grams, and classes as the 64-bit hash of the set. Chunks are named by task and
 order, so docs must be a table that a repeated task reads in the same order (a Parquet scan is).
@@ -343,8 +344,11 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int, den: int) -> DataFrame:
-    """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups."""
+def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
+    """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups.
+
+    With one, the likeliest pair of every two groups, by the bound on what their sets share, instead of all.
+    """
     rows = shared.join(bits, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"), "single", "parity")
     # Grams whose classes are all in one group have nothing to tell.
     mixed = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
@@ -366,8 +370,20 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
             near = bound >= need
             j, need = j[near], need[near]
             apart = np.bitwise_count(parity[j] ^ parity[i]).sum(axis=1, dtype=np.int64) + single[j] + single[i]
-            j = j[size[i] + size[j] - apart >= 2 * need]
-            if len(j):
+            near = size[i] + size[j] - apart >= 2 * need
+            j, need, apart = j[near], need[near], apart[near]
+            if not len(j):
+                continue
+            if one:
+                # How far the bound is above the need, in thousandths of it; of each group the first of the best.
+                slack = (1000 * (size[i] + size[j] - apart) // (2 * need)).astype(np.int64)
+                order = np.lexsort((sig[j], -slack, root[j]))
+                j, slack = j[order], slack[order]
+                new = np.ones(len(j), bool)
+                new[1:] = root[j[1:]] != root[j[:-1]]
+                j, slack = j[new], slack[new]
+                yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), slack
+            else:
                 yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
 
     def run(batches):
@@ -392,9 +408,9 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
         edge = np.concatenate([[0], np.nonzero(np.diff(cols[0]))[0] + 1, [len(cols[0])]])
         held, size = [], 0
         for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            for a, b in of_group([c[x:y] for c in cols]):
-                held.append((a, b))
-                size += len(a)
+            for part in of_group([c[x:y] for c in cols]):
+                held.append(part)
+                size += len(part[0])
                 if size > 100_000:
                     yield out(held)
                     held, size = [], 0
@@ -402,9 +418,19 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
             yield out(held)
 
     def out(held):
-        p = np.unique(np.stack([np.concatenate([h[0] for h in held]), np.concatenate([h[1] for h in held])], axis=1), axis=0)
+        cols = [np.concatenate(c) for c in zip(*held, strict=True)]
+        if one:  # one pair of two groups from each part
+            order = np.lexsort((cols[1], cols[0], -cols[4], cols[3], cols[2]))
+            cols = [c[order] for c in cols]
+            new = np.ones(len(order), bool)
+            new[1:] = (cols[2][1:] != cols[2][:-1]) | (cols[3][1:] != cols[3][:-1])
+            return pa.RecordBatch.from_arrays([pa.array(c[new]) for c in cols], ["a", "b", "ra", "rb", "slack"])
+        p = np.unique(np.stack(cols, axis=1), axis=0)
         return pa.RecordBatch.from_arrays([pa.array(p[:, 0]), pa.array(p[:, 1])], ["a", "b"])
 
+    if one:
+        found = dealt.mapInArrow(run, "a long, b long, ra long, rb long, slack long")
+        return found.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("p")).select("p.a", "p.b")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -427,8 +453,18 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     first = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
     links = written(verify(sets, first, num, den), "first-links")
     roots = components(links)
-    rest = cross_pairs(shared, roots, sets.select("sig", "single", "parity"), num, den).join(first, ["a", "b"], "left_anti")
-    rest = written(rest, "other-pairs")
+    bits = sets.select("sig", "single", "parity")
+    tried = first
+    while True:
+        # Groups that a single pair may tie are tied before all their pairs are looked at.
+        pairs = written(cross_pairs(shared, roots, bits, num, den, one=True).join(tried, ["a", "b"], "left_anti"), "group-pairs")
+        more = written(verify(sets, pairs, num, den), "group-links")
+        tried = tried.unionByName(pairs)
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(more)
+        roots = components(links)
+    rest = written(cross_pairs(shared, roots, bits, num, den).join(tried, ["a", "b"], "left_anti"), "other-pairs")
     more = written(verify(sets, rest, num, den), "other-links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
