@@ -11,8 +11,8 @@ sets; where a range is counted, grams held once are dropped and the others go ba
 Grams held once come first in every order, so a set whose prefix is full of them has no partner and leaves here.
 
 Equal sets are one class from the start. For the groups, candidates are taken in rounds: first each class with the one
-earlier class that shares most prefix grams with it, then the likeliest pair of every two groups until none of them
-links, then all pairs that are still in different groups. A pair within a group cannot change the groups, so a cluster
+earlier class that shares most prefix grams with it, then each group's likeliest pair with another one until none of
+them links, then all pairs that are still in different groups. A pair within a group cannot change the groups, so a cluster
 of m near copies costs about m verifications, not m * m.
 
 Sets are held as 64-bit hashes of their grams, and classes as the 64-bit hash of the set. Chunks are named by task and
@@ -347,7 +347,7 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
 def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
     """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups.
 
-    With one, the likeliest pair of every two groups, by the bound on what their sets share, instead of all.
+    With one, only the likeliest pair of every two groups (ra, rb), with its slack by the bound on what its sets share.
     """
     rows = shared.join(bits, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"), "single", "parity")
     # Grams whose classes are all in one group have nothing to tell.
@@ -430,10 +430,17 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
 
     if one:
         found = dealt.mapInArrow(run, "a long, b long, ra long, rb long, slack long")
-        return found.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("p")).select("p.a", "p.b")
+        return found.groupBy("ra", "rb").agg(F.max_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("p"), F.max("slack").alias("slack")).select("ra", "rb", "p.a", "p.b", "slack")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def one_each(pairs: DataFrame) -> DataFrame:
+    """(a, b): of the pairs of groups, the likeliest of each group; no more pairs than groups."""
+    best = F.max_by(F.struct("a", "b"), F.struct("slack", "a", "b")).alias("p")
+    ends = pairs.select(F.explode(F.array("ra", "rb")).alias("root"), "a", "b", "slack")
+    return ends.groupBy("root").agg(best).select("p.a", "p.b").distinct()
+
+
 def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of docs; component_id is the smallest doc_id reachable by links.
 
@@ -456,8 +463,8 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     bits = sets.select("sig", "single", "parity")
     tried = first
     while True:
-        # Groups that a single pair may tie are tied before all their pairs are looked at.
-        pairs = written(cross_pairs(shared, roots, bits, num, den, one=True).join(tried, ["a", "b"], "left_anti"), "group-pairs")
+        # Each group is tied to its likeliest neighbour, as often as that links, before all pairs are looked at.
+        pairs = written(one_each(cross_pairs(shared, roots, bits, num, den, one=True).join(tried, ["a", "b"], "left_anti")), "group-pairs")
         more = written(verify(sets, pairs, num, den), "group-links")
         tried = tried.unionByName(pairs)
         if not more.limit(1).count():
