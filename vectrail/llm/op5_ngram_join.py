@@ -36,6 +36,8 @@ CHUNK_GRAMS, RANGE_GRAMS = 1 << 20, 1 << 19
 PARITY_BITS = 512
 #: Counts are kept up to this number; commoner grams tie and are ordered by hash.
 MOST = 65535
+#: Other groups to which a posting proposes a pair in a round; all pairs follow after the rounds.
+NEAREST = 4
 #: Ids to drop are broadcast up to this number, else a shuffled join follows.
 BROADCAST_IDS = 1_000_000
 SPACE = np.zeros(256, bool)
@@ -344,15 +346,25 @@ def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
     return both.mapInArrow(compare, "a long, b long")
 
 
-def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
-    """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups.
+def mixed_postings(shared: DataFrame, roots: DataFrame) -> DataFrame:
+    """(gram, sig, size, pos, root) of the postings whose grams have classes in several groups.
 
-    With one, only the likeliest pair of every two groups (ra, rb), with its slack by the bound on what its sets share.
+    A gram whose classes are all in one group has nothing to tell, nor later: groups only grow.
     """
-    rows = shared.join(bits, "sig").join(roots.withColumnRenamed("node", "sig"), "sig", "left").select("gram", "sig", "size", "pos", F.coalesce("root", "sig").alias("root"), "single", "parity")
-    # Grams whose classes are all in one group have nothing to tell.
+    rows = shared.select("gram", "sig", "size", "pos").join(roots.withColumnRenamed("node", "sig"), "sig", "left").withColumn("root", F.coalesce("root", "sig"))
     mixed = rows.groupBy("gram").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("gram")
-    dealt = rows.join(mixed, "gram").repartition("gram").sortWithinPartitions("gram", "size", "sig")
+    return rows.join(mixed, "gram").select("gram", "sig", "size", "pos", "root")
+
+
+def cross_pairs(mixed: DataFrame, bits: DataFrame, num: int, den: int, one: bool = False) -> DataFrame:
+    """(a, b), a before b, of classes that share a prefix gram, pass the filters and are in different groups.
+
+    With one, of each posting only the likeliest pair with a larger set in each of the NEAREST likeliest other groups, and
+    of these the likeliest of every two groups (ra, rb), with its slack by the bound on what its sets share. No more rows
+    than NEAREST times the postings; what this leaves out is found by a call without one.
+    """
+    rows = mixed.join(bits, "sig").select("gram", "sig", "size", "pos", "root", "single", "parity")
+    dealt = rows.repartition("gram").sortWithinPartitions("gram", "size", "sig")
 
     def of_group(g):
         _, sig, size, pos, root, single, parity = g
@@ -377,11 +389,9 @@ def cross_pairs(shared: DataFrame, roots: DataFrame, bits: DataFrame, num: int,
             if one:
                 # How far the bound is above the need, in thousandths of it; of each group the first of the best.
                 slack = (1000 * (size[i] + size[j] - apart) // (2 * need)).astype(np.int64)
-                order = np.lexsort((sig[j], -slack, root[j]))
-                j, slack = j[order], slack[order]
-                new = np.ones(len(j), bool)
-                new[1:] = root[j[1:]] != root[j[:-1]]
-                j, slack = j[new], slack[new]
+                order = np.lexsort((sig[j], -slack))
+                k = order[np.sort(np.unique(root[j[order]], return_index=True)[1])[:NEAREST]]
+                j, slack = j[k], slack[k]
                 yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j]), np.minimum(root[i], root[j]), np.maximum(root[i], root[j]), slack
             else:
                 yield np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
@@ -464,14 +474,15 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     tried = first
     while True:
         # Each group is tied to its likeliest neighbour, as often as that links, before all pairs are looked at.
-        pairs = written(one_each(cross_pairs(shared, roots, bits, num, den, one=True).join(tried, ["a", "b"], "left_anti")), "group-pairs")
+        shared = written(mixed_postings(shared, roots), "mixed")
+        pairs = written(one_each(cross_pairs(shared, bits, num, den, one=True).join(tried, ["a", "b"], "left_anti")), "group-pairs")
         more = written(verify(sets, pairs, num, den), "group-links")
         tried = tried.unionByName(pairs)
         if not more.limit(1).count():
             break
         links = links.unionByName(more)
         roots = components(links)
-    rest = written(cross_pairs(shared, roots, bits, num, den).join(tried, ["a", "b"], "left_anti"), "other-pairs")
+    rest = written(cross_pairs(shared, bits, num, den).join(tried, ["a", "b"], "left_anti"), "other-pairs")
     more = written(verify(sets, rest, num, den), "other-links")
     if more.limit(1).count():
         roots = components(links.unionByName(more))
