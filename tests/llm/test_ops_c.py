@@ -4,7 +4,7 @@ import re
 import pytest
 
 from vectrail.llm import op5_ngram_join, op10_decontaminate
-from vectrail.llm.components import components
+from vectrail.llm.components import components, regrouped
 
 
 def low(t):
@@ -72,6 +72,9 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert {got[i] for i in range(1, 41)} == {0} and {got[100 + i] for i in range(1, 20)} == {100}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+    df = lambda e: spark.createDataFrame(e, "a long, b long")
+    steps = {r.node: r.root for r in regrouped(regrouped(components(df(edges[:30])), df(edges[30:60])), df(edges[60:])).collect()}
+    assert steps == got
 
 
 def words(t):

@@ -12,14 +12,10 @@ def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b long), root the smallest node of its component.
 
     Large star: each node's larger neighbours are tied to the smallest node around it. Small star: a node's smaller
-    neighbours and itself are tied to the smallest of them. Repeated until nothing changes, in about log n rounds.
+    neighbours and itself are tied to the smallest of them. Repeated until only stars are left, in about log n rounds.
     """
     e = written(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    mark = lambda d: d.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
-    before = mark(e)
-    if not before[0]:
-        return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    while True:
+    while not is_stars(e):
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -27,7 +23,19 @@ def components(edges: DataFrame) -> DataFrame:
         tied = large.join(low, "a")
         small = tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).distinct()
         e = written(small, "stars")
-        now = mark(e)
-        if tuple(now) == tuple(before):
-            return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        before = now
+    return e.select(F.col("a").alias("node"), F.col("b").alias("root"))
+
+
+def is_stars(e: DataFrame) -> bool:
+    """Whether every a has one b, and no b is an a."""
+    ends = e.select(F.col("a").alias("node"), F.lit(1).alias("x"), F.lit(0).alias("y")).unionByName(e.select(F.col("b").alias("node"), F.lit(0).alias("x"), F.lit(1).alias("y")))
+    return not ends.groupBy("node").agg(F.sum("x").alias("x"), F.max("y").alias("y")).where("x > 1 OR (x = 1 AND y = 1)").limit(1).count()
+
+
+def regrouped(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots (node, root) after more links (a, b); a node that is not in roots is its own root. Only roots are linked anew."""
+    side = lambda k: roots.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))
+    new = links.join(side("a"), "a", "left").join(side("b"), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    merged = components(new)
+    moved = roots.join(merged.select(F.col("node").alias("root"), F.col("root").alias("top")), "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return written(moved.unionByName(merged), "roots")

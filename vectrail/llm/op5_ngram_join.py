@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vectrail.llm.common import documents, LOWER, M1, mix, null_safe_text, prefix_hash, row_chunks, runs, span_hash, text_buffers, written
-from vectrail.llm.components import components
+from vectrail.llm.components import components, regrouped
 
 N, NUM, DEN = 4, 85, 100
 #: Grams of a chunk of sets (a larger set is a chunk alone), and grams that a hash range has on average at most.
@@ -468,8 +468,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     # A gram that few classes share says most about a pair, and in such a group neighbours are few.
     best = near.groupBy("b", "a").agg(F.count("*").alias("c")).groupBy("b").agg(F.max_by("a", F.struct("c", "a")).alias("a"))
     first = written(best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "first-pairs")
-    links = written(verify(sets, first, num, den), "first-links")
-    roots = components(links)
+    roots = components(verify(sets, first, num, den))
     bits = sets.select("sig", "single", "parity")
     tried = first
     while True:
@@ -480,12 +479,11 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
         tried = tried.unionByName(pairs)
         if not more.limit(1).count():
             break
-        links = links.unionByName(more)
-        roots = components(links)
+        roots = regrouped(roots, more)
     rest = written(cross_pairs(shared, bits, num, den).join(tried, ["a", "b"], "left_anti"), "other-pairs")
     more = written(verify(sets, rest, num, den), "other-links")
     if more.limit(1).count():
-        roots = components(links.unionByName(more))
+        roots = regrouped(roots, more)
     named = classes.join(roots, classes["sig"] == roots["node"], "left").select("sig", "rep", F.coalesce("root", "sig").alias("root"))
     least = named.groupBy("root").agg(F.min("rep").alias("component_id"))
     of_class = named.join(least, "root").select("sig", "component_id")
