@@ -492,7 +492,7 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
 
 
 def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """docs with one row of each group: that with the group's smallest doc_id. Of repeated rows with it, any one stays.
+    """docs with one doc_id of each group: the group's smallest. Rows that repeat it all stay.
 
     Rows without words all stay, and rows with a null doc_id.
     """
