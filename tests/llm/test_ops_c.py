@@ -1,3 +1,4 @@
+import itertools
 import random
 import re
 
@@ -119,3 +120,42 @@ def test_leaks_against_brute_force(spark, monkeypatch, limit):
     left = {r.doc_id for r in op10_decontaminate.decontaminate(dd, bb).collect()}
     assert left == {d for d, _ in docs} - {d for d, _ in got}
     assert op10_decontaminate.contaminated(dd.limit(0), bb).count() == 0 and op10_decontaminate.contaminated(dd, bb.limit(0)).count() == 0
+
+
+def test_masks_leave_no_pattern_out():
+    for n in range(1, op10_decontaminate.WINDOW + 1):
+        masks = op10_decontaminate.MASKS if n >= op10_decontaminate.SHORT else op10_decontaminate.short_masks(n)
+        at = [{p + i for i, c in enumerate(m) if c == "1"} for m in masks for p in range(n - len(m) + 1)]
+        for gone in itertools.combinations(range(n), n - -(-n * 3 // 4)):
+            assert any(not a & set(gone) for a in at), (n, gone)
+
+
+def plain_leaks(docs, items):
+    out = set()
+    for d, t in docs:
+        for i, x in items:
+            dw, iw = words(t), words(x)
+            w = min(len(iw), op10_decontaminate.WINDOW)
+            for off in range(-len(iw), len(dw)):
+                same = [0 <= off + j < len(dw) and dw[off + j] == iw[j] for j in range(len(iw))]
+                if max(sum(same[s : s + w]) for s in range(len(iw) - w + 1)) >= -(-w * 3 // 4):
+                    out.add((d, i))
+    return out
+
+
+def test_leaks_with_replaced_words(spark):
+    random.seed(6)
+    bag = [f"w{i}" for i in range(50)]
+    items = [(n, " ".join(random.choice(bag) for _ in range(n))) for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 11, 12, 13, 15, 30)]
+    texts = []
+    for n, x in items:
+        w = x.split()
+        texts += [" ".join("new" if i % step == phase else v for i, v in enumerate(w)) for step in (3, 4, 5) for phase in range(step)]
+        for _ in range(12):
+            gone = random.sample(range(n), min(n, random.choice((n // 4, n // 5, n // 4 + 1))))
+            texts.append("so " * random.randint(0, 2) + " ".join("new" if i in gone else v for i, v in enumerate(w)) + " end" * random.randint(0, 1))
+            texts.append(" ".join(w[random.randrange(3) :]))
+    docs = list(enumerate(texts))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {(r.doc_id, int(i)) for r in op10_decontaminate.contaminated(df, spark.createDataFrame(items, "item_id long, text string")).collect() for i in r.item_ids.split(",")}
+    assert got == plain_leaks(docs, items)

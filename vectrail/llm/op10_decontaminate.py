@@ -8,15 +8,21 @@ of its words in the same places. Words between the counted ones may be replaced
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vectrail.llm.common import documents, table, written
 
-#: 1: the word counts. Two shapes, so that few patterns of replaced words escape both.
-MASKS = ("11011011", "1110010111")
+#: 1: the word counts. Whichever words are replaced, if SHARE of a window of SHORT to WINDOW words is left, a mask meets
+#: only words that are left (a test goes through all choices). With five counted words that takes seven masks.
+MASKS = ("11101", "100111", "1101001")
 WINDOW = 13
 SHARE = 0.75
+#: Items with fewer words have masks of their own length: short_masks.
+SHORT = 8
 #: Seeds or documents up to these numbers are broadcast (16 bytes each); beyond them both sides are shuffled.
 BROADCAST_SEEDS, BROADCAST_DOCS = 1_000_000, 1_000_000
 
@@ -26,6 +32,12 @@ def words_of(text: str = "text") -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), "")
 
 
+def short_masks(n: int) -> tuple[str, ...]:
+    """For items of n words: every choice of as many words as make a leak, cut to its span."""
+    choices = combinations(range(n), math.ceil(n * SHARE))
+    return tuple(sorted({"".join("01"[i in c] for i in range(n)).strip("0") for c in choices}))
+
+
 def row_key() -> Column:
     """Names a row by its id and text: rows alike in both have the same result."""
     return F.xxhash64("doc_id", "text")
@@ -69,20 +81,18 @@ def small(df: DataFrame, limit: int) -> bool:
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(key, doc_id, item_id, offset, matched, compared): alignments whose best window reaches SHARE.
 
-    Items shorter than the shortest mask are sought whole. Items without words and null ids take no part; documents
-    without words have no leaks.
+    Every such alignment is found. Items without words and null ids take no part; documents without words have no leaks.
     """
     items = benchmark.where("item_id IS NOT NULL").select("item_id", words_of().alias("iw")).where(F.size("iw") > 0)
     items = written(items.withColumn("h", F.transform("iw", lambda w: F.xxhash64(w))), "items")
-    shortest = min(map(len, masks))
-    short = sorted(r[0] for r in items.where(F.size("iw") < shortest).select(F.size("iw")).distinct().collect())
-    whole = tuple("1" * n for n in short)
-    of_items = seeds(items, ["item_id"], masks).select("item_id", F.col("pos").alias("ipos"), "seed")
-    for n, mask in zip(short, whole, strict=True):
-        of_items = of_items.unionByName(seeds(items.where(F.size("iw") == n), ["item_id"], (mask,)).select("item_id", F.col("pos").alias("ipos"), "seed"))
-    of_items = written(of_items, "item-seeds")
+    short = {r[0]: short_masks(r[0]) for r in items.where(F.size("iw") < SHORT).select(F.size("iw")).distinct().collect()}
+    of_items = seeds(items.where(F.size("iw") >= SHORT), ["item_id"], masks)
+    for n in sorted(short):
+        of_items = of_items.unionByName(seeds(items.where(F.size("iw") == n), ["item_id"], short[n]))
+    of_items = written(of_items.select("item_id", F.col("pos").alias("ipos"), "seed"), "item-seeds")
+    more = sorted({m for ms in short.values() for m in ms} - set(masks))
     few = small(of_items, BROADCAST_SEEDS)
-    hits = document_seeds(docs, masks + whole).join(F.broadcast(of_items) if few else of_items, "seed")
+    hits = document_seeds(docs, (*masks, *more)).join(F.broadcast(of_items) if few else of_items, "seed")
     hits = written(hits.select("key", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).distinct(), "hits")
     keys = hits.select("key").distinct()
     rows = docs.select("doc_id", "text", row_key().alias("key"))
