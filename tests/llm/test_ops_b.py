@@ -39,6 +39,21 @@ def test_search_recall(spark):
     assert len(truth & set(zip(got.query_id, got.vec_id))) / len(truth) >= 0.9
 
 
+def test_search_recall_with_near_copies(spark):
+    rng = np.random.default_rng(2)
+    m = rng.normal(size=(6000, 32))
+    m[::3] = m[0] + 0.01 * rng.normal(size=(2000, 32))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = op1_anisotropic.search(df, F.col("vec_id") % 20 == 0).toPandas()
+    s = m[::20] @ m.T
+    s[np.arange(len(s)), np.arange(0, 6000, 20)] = -np.inf
+    truth = {(20 * q, int(i)) for q, row in enumerate(s) for i in np.argsort(-row)[:20]}
+    found = truth & set(zip(got.query_id, got.vec_id))
+    crowd = {t for t in truth if t[0] % 60 == 0}
+    print("recall", len(found) / len(truth), len(found & crowd) / len(crowd))
+    assert len(got) == len(truth) and len(found) / len(truth) >= 0.9 and len(found & crowd) / len(crowd) >= 0.9
+
+
 def test_boundaries_are_optimal():
     random.seed(1)
     pad = lambda edges, h: sum(c * (min(e for e in edges if e >= n) - n) for n, c in h.items())

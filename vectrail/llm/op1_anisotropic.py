@@ -4,6 +4,10 @@ Vectors are coded with 4 bits for each pair of components. Codes are chosen to m
 residual that is parallel to the vector weighs more than the rest, since it is what changes large inner products.
 Queries scan the codes by table lookups, two codes a byte, and the best rows are scored again on the original vectors.
 
+Rows beyond the KEEP best codes are left out only if that is safe: where the last of a query's best exact scores is not
+clear of the cut by the spread of the coding errors (near copies of one vector have nearly one code), the query meets
+all vectors in blocks and is searched exactly.
+
 Equal vectors share one code. Since ties go to smaller ids, no result needs more than the first k + 1 copies of a
 vector, so a vector with any number of copies costs no more than that.
 """
@@ -23,6 +27,8 @@ CENTRES = 16
 #: Inner products over this share of the norms are what the loss is made for.
 THRESHOLD = 0.2
 KEEP = 200
+#: A query is settled if its k-th exact score is so many standard deviations of the coding error above the cut.
+CLEAR = 2.5
 QUERY_ROWS, CODE_ROWS, SPLITS = 256, 8192, 2
 
 
@@ -154,51 +160,91 @@ def search(vectors: DataFrame, is_query, k: int = 20, keep: int = KEEP, fit_rows
                 part = b.slice(lo, QUERY_ROWS)
                 yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), pa.array([matrix(part.column(1)).tobytes()], pa.binary())], ["ids", "data"])
 
-    index = written(reps.select("rep", "vec").mapInArrow(code, "ids binary, data binary, split int"), "codes")
-    # Query blocks, numbered and written, so that a lost task finds the same ones again.
-    q = reps.join(asked.select("rep").distinct(), "rep").select("rep", "vec").coalesce(8).mapInArrow(block, "ids binary, data binary")
-    q = written(q.select(F.monotonically_increasing_id().alias("qb"), "ids", "data"), "queries")
-    left = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"), F.lit(0).alias("side"), "ids", "data")
-    # The query set meets all codes, block by block: 16 bytes a vector and query block, no pairs of rows.
-    right = index.join(q.select("qb"), F.lit(True), "inner").select("qb", "split", F.lit(1).alias("side"), "ids", "data")
-    dealt = left.unionByName(right).repartition("qb", "split").sortWithinPartitions("qb", "split", "side")
+    def whole(batches):
+        """Blocks of ids and vectors."""
+        for b in batches:
+            for lo in range(0, b.num_rows, CODE_ROWS):
+                part = b.slice(lo, CODE_ROWS)
+                i = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([matrix(part.column(1)).tobytes()], pa.binary()), pa.array([int(i[0]) % SPLITS], pa.int32())], ["ids", "data", "split"])
+
+    def scan(coded):
+        """Each query's best rows in a split, by codes or by vectors, and the least score kept if rows were left out."""
+
+        def run(batches):
+            qids = side_q = best_s = best_i = seen = None
+
+            def done():
+                ok = best_i >= 0
+                cut = np.where(seen > keep, best_s[:, -1], -np.inf) if coded else np.full(len(qids), -np.inf)
+                n = ok.sum(1)
+                return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_i[ok]), pa.array(best_s[ok]), pa.array(np.repeat(cut, n))], ["asked", "rep", "approx", "cut"])
+
+            for b in batches:
+                for side, ids, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                    ids = np.frombuffer(ids, np.int64)
+                    if side == 0:
+                        if qids is not None:
+                            yield done()
+                        qids, seen = ids, 0
+                        side_q = np.frombuffer(data, np.float64).reshape(len(ids), -1)
+                        side_q = held.value.tables(side_q) if coded else side_q
+                        best_s, best_i = np.full((len(ids), keep), -np.inf), np.full((len(ids), keep), -1, np.int64)
+                        continue
+                    seen += len(ids)
+                    if coded:
+                        block = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(len(ids), -1).T)
+                    else:
+                        dots = side_q @ np.frombuffer(data, np.float64).reshape(len(ids), -1).T
+                    for r in range(len(qids)):
+                        if coded:
+                            t = side_q[r]
+                            s = t[0][block[0]]
+                            for j in range(1, len(block)):
+                                s += t[j][block[j]]
+                        else:
+                            s = dots[r]
+                        near = np.arange(len(s))
+                        if len(s) > keep:
+                            least = np.partition(s, len(s) - keep)[len(s) - keep]
+                            near = np.nonzero(s >= least - 1e-9 * (1 + abs(least)))[0]
+                        s = np.concatenate([best_s[r], s[near]])
+                        i = np.concatenate([best_i[r], ids[near]])
+                        top = np.lexsort((i, -s))[:keep]
+                        best_s[r], best_i[r] = s[top], i[top]
+            if qids is not None:
+                yield done()
+
+        return run
 
-    def scan(batches):
-        qids = tables = best_s = best_i = None
+    order = [F.desc("score"), F.asc("vec_id")]
+    score = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
-        def done():
-            ok = best_i >= 0
-            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ok.sum(1))), pa.array(best_i[ok])], ["asked", "rep"])
+    def best(asked_reps: DataFrame, index: DataFrame, coded: bool) -> DataFrame:
+        """(asked, vec_id, score, r, settled) of the k + 1 best rows of each query."""
+        # Query blocks, numbered and written, so that a lost task finds the same ones again.
+        q = reps.join(asked_reps, "rep").select("rep", "vec").coalesce(8).mapInArrow(block, "ids binary, data binary")
+        q = written(q.select(F.monotonically_increasing_id().alias("qb"), "ids", "data"), "queries")
+        left = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"), F.lit(0).alias("side"), "ids", "data")
+        # The query set meets all codes (or vectors), block by block: 16 bytes (or a vector) and query block, no pairs of rows.
+        right = index.join(q.select("qb"), F.lit(True), "inner").select("qb", "split", F.lit(1).alias("side"), "ids", "data")
+        dealt = left.unionByName(right).repartition("qb", "split").sortWithinPartitions("qb", "split", "side")
+        near = dealt.mapInArrow(scan(coded), "asked long, rep long, approx double, cut double")
+        exact = near.join(copies.select("rep", "vec_id", "vec"), "rep").join(reps.select(F.col("rep").alias("asked"), F.col("vec").alias("q")), "asked").select("asked", "rep", "vec_id", "approx", "cut", score.alias("score"))
+        of_query = Window.partitionBy("asked")
+        error = F.when(F.col("rep") == F.col("vec_id"), F.col("score") - F.col("approx"))
+        top = exact.withColumn("r", F.row_number().over(of_query.orderBy(*order)))
+        top = top.withColumn("least", F.max(F.when(F.col("r") == k + 1, F.col("score"))).over(of_query))
+        top = top.withColumn("bound", F.max("cut").over(of_query) + F.avg(error).over(of_query) + CLEAR * F.stddev_pop(error).over(of_query))
+        settled = (F.col("bound") == F.lit(float("-inf"))) | F.coalesce(F.col("least") > F.col("bound"), F.lit(False))
+        return written(top.where(F.col("r") <= k + 1).select("asked", "vec_id", "score", settled.alias("settled")), "best")
 
-        for b in batches:
-            for side, ids, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
-                ids = np.frombuffer(ids, np.int64)
-                if side == 0:
-                    if qids is not None:
-                        yield done()
-                    qids = ids
-                    tables = held.value.tables(np.frombuffer(data, np.float64).reshape(len(ids), -1))
-                    best_s, best_i = np.full((len(ids), keep), -np.inf, np.float32), np.full((len(ids), keep), -1, np.int64)
-                    continue
-                codes = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(len(ids), -1).T)
-                for r in range(len(qids)):
-                    t = tables[r]
-                    s = t[0][codes[0]]
-                    for j in range(1, len(codes)):
-                        s += t[j][codes[j]]
-                    near = np.argpartition(-s, keep)[:keep] if len(s) > keep else np.arange(len(s))
-                    s = np.concatenate([best_s[r], s[near]])
-                    i = np.concatenate([best_i[r], ids[near]])
-                    top = np.lexsort((i, -s))[:keep]
-                    best_s[r], best_i[r] = s[top], i[top]
-        if qids is not None:
-            yield done()
-
-    near = dealt.mapInArrow(scan, "asked long, rep long")
-    score = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    exact = near.join(copies.select("rep", "vec_id", "vec"), "rep").join(reps.select(F.col("rep").alias("asked"), F.col("vec").alias("q")), "asked").select("asked", "vec_id", score.alias("score"))
-    order = [F.desc("score"), F.asc("vec_id")]
-    top = exact.withColumn("r", F.row_number().over(Window.partitionBy("asked").orderBy(*order))).where(F.col("r") <= k + 1).drop("r")
+    index = written(reps.select("rep", "vec").mapInArrow(code, "ids binary, data binary, split int"), "codes")
+    top = best(asked.select("rep").distinct(), index, True)
+    crowded = top.where("NOT settled").select(F.col("asked").alias("rep")).distinct()
+    if crowded.limit(1).count():
+        vectors_index = reps.select("rep", "vec").mapInArrow(whole, "ids binary, data binary, split int")
+        top = top.where("settled").unionByName(best(crowded, vectors_index, False))
     rows = asked.join(top, asked["rep"] == top["asked"]).where("query_id <> vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
