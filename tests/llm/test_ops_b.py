@@ -110,3 +110,14 @@ def test_extract_joined(spark, monkeypatch, limit):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     got = {r.page_id: r.text for r in op8_site_style.extract(df).collect()}
     assert got[3] == "Title w3\n\nFirst & w3\n\nSecond part w3"
+
+
+def test_extract_mirrored_pages(spark):
+    rows = [(i, f"http://mirror.example/{i}", PAGE.format("same")) for i in range(10)]
+    rows += [(20 + i, f"http://lines.example/{i}", f"<body><p>Motto</p><article><h2 class=x>Summary</h2><p>Story {i}</p></article></body>") for i in range(10)]
+    rows += [(40 + i, f"http://plain.example/{i}", f"<body><div class=c><p>One story</p></div><nav><a>{i}</a></nav></body>") for i in range(10)]
+    rows += [(60 + i, f"http://styled.example/{i}", f"<body><div class=c><p>One story</p></div><nav class=n{i}><a>{i}</a></nav><div class='nav k{i}'><i></i></div><hr class=h{i}></body>") for i in range(10)]
+    got = {r.page_id: r.text for r in op8_site_style.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Title same\n\nFirst & same\n\nSecond part same"
+    assert got[23] == "Summary\n\nStory 3"
+    assert got[43] == got[63] == "One story"

@@ -6,8 +6,10 @@ spread over the pages; a text that stands on every page has entropy 1). A branch
 
     (1 - G^l) * presentation + G^l * mean over the leaves below of (1 - mean entropy of their texts)
 
-with l the number of presentations. Branches of low importance are removed from each page, after those whose tag, role
-or class says that they are no article. Hosts with few pages are judged by tags, roles and classes alone.
+with l the number of presentations. Pages of a host that are alike count once. Branches of low importance outside the
+article element are removed from each page, after those whose tag, role or class says that they are no article; if
+that would leave a page without text, they stay. Hosts with few different pages, and article elements, are judged by
+tags, roles and classes alone.
 """
 
 from __future__ import annotations
@@ -26,8 +28,8 @@ from vectrail.llm.common import hash_texts, table, written
 G = 0.9
 #: Hosts with fewer pages have no reliable entropies.
 LEAST_PAGES = 8
-#: A branch outside the article element goes below the first value; one inside goes below the second, if most pages have it.
-LOW, LOW_INSIDE, MOST = 0.4, 0.1, 0.5
+#: A branch outside the article element goes below this importance.
+LOW = 0.4
 #: Low branches up to this number are broadcast to the tasks (under 30 MB); beyond it they are joined by host.
 BROADCAST_PATHS = 100_000
 DEPTH = 24
@@ -157,30 +159,30 @@ def prefixes(path: str) -> list[str]:
 def style_tree(pages: DataFrame) -> DataFrame:
     """(host, path, inside, pages, share, importance) of every branch of every host with pages enough.
 
-    Texts are counted by (host, path, hash), so the texts of a large host are spread over all tasks.
+    Texts are counted by (host, path, hash), so the texts of a large host are spread over all tasks. Pages whose blocks
+    and child sequences are alike are one page.
     """
 
     def run(batches):
         for b in batches:
-            counts: dict = {}
+            found: dict = {}
             for url, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                host = host_of(url)
                 page = Page(source.as_py() or "")
                 seen = {(path, inside, 0, text) for path, inside, text in page.blocks}
                 seen |= {(path, False, 1, " ".join(names)) for path, names in page.styles.items()}
                 seen |= {(p, i, 2, "") for path, i, _ in page.blocks for p in prefixes(path)}
                 seen.add(("", False, 3, ""))
-                for s in seen:
-                    counts[(host, *s)] = counts.get((host, *s), 0) + 1
-            if counts:
-                keys = list(counts)
+                whole = hash_texts([repr((page.blocks, list(page.styles.items())))])[0]
+                found[(host_of(url), whole)] = seen
+            if found:
+                keys = [(host, *s, whole) for (host, whole), seen in found.items() for s in seen]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array([k[3] for k in keys], pa.int32()), pa.array(hash_texts([k[4] for k in keys])), pa.array(list(counts.values()), pa.int64())],
-                    ["host", "path", "inside", "kind", "hash", "n"],
+                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array([k[3] for k in keys], pa.int32()), pa.array(hash_texts([k[4] for k in keys])), pa.array([k[5] for k in keys], pa.int64())],
+                    ["host", "path", "inside", "kind", "hash", "page"],
                 )
 
-    raw = pages.select("url", "html").mapInArrow(run, "host string, path string, inside boolean, kind int, hash long, n long")
-    counts = raw.groupBy("host", "path", "inside", "kind", "hash").agg(F.sum("n").alias("n"))
+    raw = pages.select("url", "html").mapInArrow(run, "host string, path string, inside boolean, kind int, hash long, page long").distinct()
+    counts = raw.groupBy("host", "path", "inside", "kind", "hash").agg(F.count("*").alias("n"))
     stats = written(counts.groupBy("host", "path", "inside", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("l"), F.sum(F.log("n")).alias("logs"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")), "style-tree")
     m = stats.where("kind = 3").groupBy("host").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
     texts = stats.where("kind = 0").join(m, "host").withColumn("leaf", 1 - F.least(F.lit(1.0), F.col("logs") / F.col("l") / F.log("m")))
@@ -195,14 +197,14 @@ def style_tree(pages: DataFrame) -> DataFrame:
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    inside = F.col("inside") & (F.col("importance") < LOW_INSIDE) & (F.col("share") >= MOST)
     # The way down to the article is no branch of its own.
-    return tree.where(inside | (~F.col("inside") & (F.col("importance") < LOW) & ~F.col("path").rlike("(^|/)(html|body)[^/]*$"))).select("host", "path", "inside")
+    return tree.where(~F.col("inside") & (F.col("importance") < LOW) & ~F.col("path").rlike("(^|/)(html|body)[^/]*$")).select("host", "path", "inside")
 
 
 def main_text(page: Page, low: frozenset) -> str:
     """Kept blocks in page order. If the page has an article or main element with text, blocks outside are not the article."""
     kept = [(i, t) for path, i, t in page.blocks if not any((p, i) in low for p in prefixes(path))]
+    kept = kept or [(i, t) for _, i, t in page.blocks]
     inside = [t for i, t in kept if i]
     return "\n\n".join(inside or [t for _, t in kept])
 
