@@ -58,6 +58,27 @@ def test_pii_disguises(text, kind, part):
     assert [(op7_pii.KINDS[k], text[a:b]) for a, k, b in added if op7_pii.KINDS[k] == kind] == [(kind, part)]
 
 
+@pytest.mark.parametrize(
+    "kind,part",
+    [
+        ("phone", "+ one two one two five five five oh one oh oh"),
+        ("phone", "plus one four one five five five five zero one two three"),
+        ("phone", "+1 four one five, five five five, zero one two three"),
+        ("phone", "+1 four one five 555 0123"),
+        ("phone", "+1 415, five five five, 0123"),
+        ("ip", "one nine two dot one six eight dot one dot one"),
+        ("card", "four one one one, one one one one, one one one one, one one one one"),
+        ("card", "４111 1111 1111 1111"),
+    ],
+)
+def test_pii_spelled_in_parts(kind, part):
+    for text in (f"call {part} thanks", f"one day {part}; no one else"):
+        base, added = op7_pii.find(text)
+        assert base == [] and [(op7_pii.KINDS[k], text[a:b]) for a, k, b in added] == [(kind, part)]
+    text = "mail ４111 1111 1111 1111 one two times, or one, two, three of us"
+    assert [(op7_pii.KINDS[k], text[a:b]) for a, k, b in op7_pii.find(text)[1]] == [("card", "４111 1111 1111 1111")]
+
+
 def test_pii_query(spark, tmp_path):
     texts = ["a@b.co and 1.2.3.4", None, "", "x" * 300_000 + "@", "é a@b.co"]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))

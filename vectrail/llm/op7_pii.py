@@ -3,7 +3,8 @@
 Plain identifiers are found by pattern in the text itself. A transducer then rewrites what hides identifiers
 (look-alike letters, full-width forms, spelled digits, "[at]" and "dot" words) and notes for each piece of its output
 where it came from; the same patterns run over its output, and spans that hold a rewritten piece are mapped back to
-source characters and added unless they overlap a plain one. All steps are linear in the length of the text.
+source characters and added unless they overlap a plain one. A second reading rewrites number words in runs of any
+length, over commas too, and adds what overlaps nothing found before. All steps are linear in the length of the text.
 """
 
 from __future__ import annotations
@@ -93,16 +94,20 @@ NUMBERS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four":
 INVISIBLE = "​‌‍⁠﻿­"
 FOLDED = "Ͱ-ϿЀ-ԯ٠-٩۰-۹․．。﹒﹫！-～⁰-ₜ①-⑨\U0001d400-\U0001d7ff" + INVISIBLE
 _number = "|".join(NUMBERS)
-REWRITE = re.compile(
-    rf"(?P<spelled>\b(?:{_number})(?:[ -]{{1,2}}(?:{_number})\b){{6,}}+)"
+_long = rf"\b(?:{_number})(?:[ -]{{1,2}}(?:{_number})\b){{6,}}+"
+_any = rf"(?:(?<=[0-9]),[ ]{{1,2}})?\b(?:{_number})\b(?:(?:,[ ]{{0,2}}|[ -]{{1,2}})(?:{_number})\b)*+(?:,(?=[ ]{{1,2}}[0-9]))?"
+_others = (
     r"|(?P<at>[ \t]{0,3}[\[({<][ \t]{0,3}(?:at|@)[ \t]{0,3}[\])}>][ \t]{0,3})"
     r"|(?P<dot>[ \t]{0,3}[\[({<][ \t]{0,3}(?:dot|\.)[ \t]{0,3}[\])}>][ \t]{0,3})"
     r"|(?P<wordat>(?<=[a-z0-9])[ \t]{1,3}at[ \t]{1,3}(?=[a-z0-9-]{1,63}[ \t]{1,3}dot[ \t]{1,3}[a-z0-9]))"
     r"|(?P<worddot>(?<=[a-z0-9])[ \t]{1,3}dot[ \t]{1,3}(?=[a-z0-9]))"
-    r"|(?P<plus>\bplus[ \t]{1,3}(?=[0-9]))"
-    rf"|(?P<fold>[{FOLDED}])",
-    re.IGNORECASE,
+    rf"|(?P<plus>\bplus[ \t]{{1,3}}(?=[0-9]|(?:{_number})\b)|\+[ \t]{{1,3}}(?=(?:{_number})\b))"
+    rf"|(?P<fold>[{FOLDED}])"
 )
+REWRITE = re.compile(rf"(?P<spelled>{_long}){_others}", re.IGNORECASE)
+#: The second reading: number words in runs of any length, over commas too.
+REWRITE_ANY = re.compile(rf"(?P<spelled>{_any}){_others}", re.IGNORECASE)
+NUMBER = re.compile(rf"\b(?:{_number})\b", re.IGNORECASE)
 
 
 def fold(c: str) -> str:
@@ -120,13 +125,15 @@ def fold(c: str) -> str:
     return c if d is None else str(d)
 
 
-def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
+def normalise(text: str, rewrite: re.Pattern = REWRITE) -> tuple[str, list[tuple[int, int, int, int]]]:
     """(rewritten text, pieces). A piece is (start, end) in the rewritten text and (start, end) in the source."""
     out, pieces, at, size = [], [], 0, 0
-    for m in REWRITE.finditer(text):
+    for m in rewrite.finditer(text):
         kind = m.lastgroup
         if kind == "spelled":
             new = "".join(NUMBERS[w.lower()] for w in re.findall(r"[A-Za-z]+", m[0]))
+            # A comma between digits and number words becomes a blank, which the patterns allow.
+            new = " " + new if m[0].startswith(",") else new
         else:
             new = {"at": "@", "wordat": "@", "dot": ".", "worddot": ".", "plus": "+"}.get(kind) or (fold(m[0]) if kind == "fold" else "")
         out += [text[at : m.start()], new]
@@ -138,11 +145,11 @@ def normalise(text: str) -> tuple[str, list[tuple[int, int, int, int]]]:
     return "".join(out), pieces
 
 
-def disguised_spans(text: str) -> list[tuple[int, int, int]]:
+def disguised_spans(text: str, rewrite: re.Pattern = REWRITE) -> list[tuple[int, int, int]]:
     """(start, kind, end) in the source of the identifiers that the rewritten text shows and that hold a rewritten piece."""
-    if not REWRITE.search(text):
+    if not rewrite.search(text):
         return []
-    new, pieces = normalise(text)
+    new, pieces = normalise(text, rewrite)
     ends = [p[1] for p in pieces]
 
     def back(i: int, end: bool) -> int:
@@ -167,12 +174,13 @@ def find(text: str | None) -> tuple[list, list]:
     text = text or ""
     base = plain_spans(text)
     added = []
-    taken = sorted((a, b) for a, _, b in base)
-    for a, k, b in disguised_spans(text):
-        i = bisect_right(taken, (a, len(text) + 1))
-        if not (i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b):
-            added.append((a, k, b))
-    return base, added
+    for rewrite in (REWRITE, REWRITE_ANY) if NUMBER.search(text) else (REWRITE,):
+        taken = sorted((a, b) for a, _, b in base + added)
+        for a, k, b in disguised_spans(text, rewrite):
+            i = bisect_right(taken, (a, len(text) + 1))
+            if not (i and taken[i - 1][1] > a or i < len(taken) and taken[i][0] < b):
+                added.append((a, k, b))
+    return base, sorted(added)
 
 
 def listed(spans) -> str:
