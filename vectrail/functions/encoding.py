@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.functions.metrics import sparse_norm_sq
-
 WORD = 64
 
 
@@ -69,15 +69,14 @@ def sparse_problem(vec, dim: int) -> Column:
 
 
 def with_ids(df: DataFrame, order_by: list[str], start: int = 0) -> DataFrame:
-    """Consecutive ids in the order of the columns, without a global single-task window."""
-    ordered = df.orderBy(*order_by)
-    rows = ordered.rdd.zipWithIndex().map(lambda x: (x[1] + start, *x[0]))
-    return df.sparkSession.createDataFrame(rows, "id long, " + ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ordered.schema))
-
-
-def prepared_sparse(df: DataFrame) -> DataFrame:
-    return df.withColumn("norm_sq", sparse_norm_sq("vec"))
-
-
-def rank_within(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    """Consecutive ids in the order of the columns: rows are numbered within their range of it, and ranges by their sizes."""
+    name = f"_at_{uuid.uuid4().hex}"
+    # A stated number of ranges is the same in both uses of the rows.
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.repartitionByRange(ranges, *order_by).sortWithinPartitions(*order_by).withColumn(name, F.monotonically_increasing_id())
+    part = F.shiftright(name, 33)
+    sizes = rows.groupBy(part.alias("part")).agg(F.count("*").alias("n"))
+    first = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    firsts = sizes.select(F.col("part").alias(f"{name}p"), first.alias(f"{name}f"))  # a row for each range
+    places = rows.join(F.broadcast(firsts), part == F.col(f"{name}p"))
+    return places.select((F.col(name).bitwiseAND(F.lit((1 << 33) - 1)) + F.col(f"{name}f") + start).alias("id"), *df.columns)

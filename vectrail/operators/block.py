@@ -1,8 +1,9 @@
 """Exact search over blocks of vectors.
 
-Rows are packed into blocks, each block of the corpus meets each block of the queries in some task, and a task
-keeps only the best k for each query while corpus blocks stream past it. Nothing of the size queries x corpus is
-ever held or shuffled: a task's memory is one block of each side plus k results a query.
+A query set of bounded size travels with the tasks, and the corpus stays where it is. Larger ones are divided into groups
+of bounded bytes: a task holds one group and streams a share of the corpus past it, so the corpus is shuffled once for each
+group, and nothing of the size queries x corpus is ever held or shuffled. Distances are taken for tiles of queries and
+rows; a task's memory is a group, a tile and k results a query.
 """
 
 from __future__ import annotations
@@ -16,6 +17,11 @@ from pyspark.sql import functions as F
 
 from vectrail.types import DENSE, SPARSE, DataType, Metric
 
+#: Queries and corpus rows of a tile of distances (8 MB), and bytes of a group of queries that a task holds.
+TILE_QUERIES, TILE_ROWS, GROUP_BYTES = 512, 2048, 64 << 20
+#: Bytes of the corpus that a task streams past a group of queries, about.
+SHARE_BYTES = 128 << 20
+
 
 def _payload(column: pa.Array, dtype: DataType):
     """What the kernels need of one block."""
@@ -78,13 +84,54 @@ def _exact(q, c, qi, ci, dtype: DataType, metric: Metric, coarse: np.ndarray) ->
     return np.where(prod == 0, 1.0, 1.0 - dots / np.where(prod == 0, 1.0, prod))
 
 
+def _rows(block, dtype: DataType) -> int:
+    return block[0] if dtype in SPARSE else len(block)
+
+
+def _slice(block, lo: int, hi: int, dtype: DataType):
+    """Rows lo to hi of a block."""
+    if dtype not in SPARSE:
+        return block[lo:hi]
+    n, rows, dims, values = block
+    keep = (rows >= lo) & (rows < hi)
+    return min(hi, n) - lo, rows[keep] - lo, dims[keep], values[keep]
+
+
+def _error(q, c, dtype: DataType, metric: Metric) -> np.ndarray:
+    """For each query a bound on the rounding error of its coarse distances."""
+    n = _rows(q, dtype)
+    if dtype not in DENSE:
+        return np.zeros(n)
+    unit = 8 * np.finfo(np.float64).eps * (q.shape[1] + 4)
+    if metric is Metric.COSINE:
+        return np.full(n, unit)
+    return unit * (np.einsum("ij,ij->i", q, q) + np.einsum("ij,ij->i", c, c).max())
+
+
 def block_top_k(q, c, ids: np.ndarray, k: int, dtype: DataType, metric: Metric):
     """(query index, corpus id, distance) of each query's k nearest in a block, ties to the smaller id."""
-    coarse = _distances(q, c, dtype, metric)
+    found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))]
+    for lo in range(0, _rows(c, dtype), TILE_ROWS):
+        part = _slice(c, lo, lo + TILE_ROWS, dtype)
+        for at in range(0, _rows(q, dtype), TILE_QUERIES):
+            qi, i, d = _tile_top_k(_slice(q, at, at + TILE_QUERIES, dtype), part, ids[lo : lo + TILE_ROWS], k, dtype, metric)
+            found.append((qi + at, i, d))
+    return keep_best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+
+
+def _tile_top_k(q, c, ids: np.ndarray, k: int, dtype: DataType, metric: Metric):
+    """The same for one tile: by matrix products first, then all rows that these leave within their error are scored directly."""
+    near, far = q, c
+    if dtype in DENSE and metric is Metric.L2 and len(c):
+        # Differences do not change, but the norms, and with them the rounding error, do.
+        middle = c.mean(axis=0)
+        near, far = q - middle, c - middle
+    coarse = _distances(near, far, dtype, metric)
     if not coarse.size or k <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
     kth = np.partition(coarse, min(k, coarse.shape[1]) - 1, axis=1)[:, min(k, coarse.shape[1]) - 1]
-    qi, ci = np.nonzero(coarse <= (kth + 1e-9 * (1 + np.abs(kth)))[:, None])
+    slack = 2 * _error(near, far, dtype, metric) + 1e-12 * np.abs(kth)
+    qi, ci = np.nonzero(coarse <= (kth + slack)[:, None])
     return keep_best(qi, ids[ci], _exact(q, c, qi, ci, dtype, metric, coarse[qi, ci]), k)
 
 
@@ -123,46 +170,72 @@ def _packer(dtype: DataType, rows: int, dense_int: bool = False):
     return pack
 
 
-def block_knn(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, metric: Metric, *, query_rows: int = 512, corpus_rows: int = 4096, splits: int = 4) -> DataFrame:
-    """Candidates (query_id, id, distance), at most splits * k for each query, holding its k nearest.
+def _joined(blocks: list, dtype: DataType):
+    """One block of several."""
+    if dtype not in SPARSE:
+        return np.concatenate(blocks)
+    starts = np.cumsum([0, *(b[0] for b in blocks)])
+    rows, dims, values = (np.concatenate(x) for x in ([b[1] + s for b, s in zip(blocks, starts, strict=False)], [b[2] for b in blocks], [b[3] for b in blocks]))
+    order = np.argsort(dims, kind="stable")
+    return int(starts[-1]), rows[order], dims[order], values[order]
+
+
+def _row_bytes(df: DataFrame, dtype: DataType) -> int:
+    """Bytes of a row in memory, by the first one."""
+    size = F.size("vec.indices") * 24 if dtype in SPARSE else F.size("vec") * 8
+    first = df.select(size.alias("n")).first()
+    return max(64, (first[0] if first else 0) or 0)
+
 
-    queries (query_id, vec) and corpus (id, vec) may both be of any size. Negated similarity for TANIMOTO.
+def block_knn(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, metric: Metric, *, query_rows: int = 512, corpus_rows: int = 4096, groups: int | None = None, shares: int | None = None) -> DataFrame:
+    """Candidates (query_id, id, distance), at most shares * k for each query, holding its k nearest.
+
+    queries (query_id, vec) and corpus (id, vec) may both be of any size. Blocks of queries are dealt into groups by a hash,
+    as many as GROUP_BYTES asks for, and blocks of the corpus into shares, so that groups x shares tasks fill the cluster.
+    Negated similarity for TANIMOTO.
     """
+    if groups is None or shares is None:
+        parallel = corpus.sparkSession.sparkContext.defaultParallelism
+        groups = max(1, -(-queries.count() * _row_bytes(queries, dtype) // GROUP_BYTES))
+        shares = max(-(-parallel // groups), -(-corpus.count() * _row_bytes(corpus, dtype) // SHARE_BYTES), 1)
+    dealt = lambda n: F.pmod(F.xxhash64("block"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     q = queries.select("query_id", "vec").mapInArrow(_packer(dtype, query_rows), "block binary")
-    q = q.select(F.monotonically_increasing_id().alias("qb"), "block")
-    names = q.select("qb")
     c = corpus.select("id", "vec").mapInArrow(_packer(dtype, corpus_rows), "block binary")
-    c = c.withColumn("part", F.pmod(F.xxhash64("block"), F.lit(splits)).cast("int"))
-    # A stated query set against all rows, in blocks: each corpus block goes to each query block's tasks.
-    # Query blocks are written once so that their numbers stay the same when a task is run again.
-    left = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))).alias("part"), F.lit(0).alias("side"), "block")
-    right = c.join(names, F.lit(True), "inner").select("qb", "part", F.lit(1).alias("side"), "block")
-    dealt = left.unionByName(right).repartition("qb", "part").sortWithinPartitions("qb", "part", "side")
+    # A stated query set against all rows, in blocks.
+    left = q.select(dealt(groups).alias("qb"), every(shares).alias("part"), F.lit(0).alias("side"), "block")
+    right = c.select(every(groups).alias("qb"), dealt(shares).alias("part"), F.lit(1).alias("side"), "block")
+    both = left.unionByName(right).repartition("qb", "part").sortWithinPartitions("qb", "part", "side")
 
     def search(batches):
-        key, qids, qm = None, None, None
-        best = None
+        key, held, qids, qm, best = None, [], None, None, None
 
         def done():
+            if best is None or not len(best[0]):
+                return
             qi, ids, dist = best
-            return pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
 
         for b in batches:
-            for qb, part, side, block in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
-                if side == 0:
-                    if best is not None:
-                        yield done()
-                    key, (qids, qm) = (qb, part), pickle.loads(block)
+            for qb, part, side, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
+                if key != (qb, part):
+                    yield from done()
+                    key, held, qm = (qb, part), [], None
                     best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                ids, m = pickle.loads(block.as_buffer())
+                if side == 0:
+                    held.append((ids, m))
                     continue
-                assert key == (qb, part)
-                ids, m = pickle.loads(block)
+                if qm is None:
+                    if not held:  # no query has come to this group
+                        continue
+                    qids, qm = np.concatenate([h[0] for h in held]), _joined([h[1] for h in held], dtype)
+                    held = [held[0]]
                 new = block_top_k(qm, m, ids, k, dtype, metric)
                 best = keep_best(*(np.concatenate(x) for x in zip(best, new, strict=True)), k)
-        if best is not None:
-            yield done()
+        yield from done()
 
-    return dealt.mapInArrow(search, DDL)
+    return both.mapInArrow(search, DDL)
 
 
 def block_knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, metric: Metric) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,15 +18,24 @@ def mean_recall(found: DataFrame, truth: DataFrame, k: int) -> float:
     return recall_at_k(found, truth, k).agg(F.avg("recall")).first()[0]
 
 
+def _elements(times: DataFrame, value: str, named: dict[str, Callable[[int], int]]) -> DataFrame:
+    """Elements of the sorted values, counted from 0, each at the place that its function gives for the number of values.
+
+    Spark's percentile_disc keeps a count for each different value and adds these up by task.
+    """
+    n = times.where(F.col(value).isNotNull()).count()
+    at = lambda place: F.expr(f"percentile_disc({(place + 0.5) / n!r}D) WITHIN GROUP (ORDER BY `{value}`)") if n else F.first(value)
+    return times.agg(*(at(place(n)).alias(name) for name, place in named.items()))
+
+
 def latency_percentiles(times: DataFrame, value: str = "us") -> DataFrame:
-    """p50, p95 and p99 without interpolation: element floor(p * (n - 1)) of the sorted values."""
-    at = lambda p: F.expr(f"element_at(v, cast(floor({p} * (size(v) - 1)) as int) + 1)").alias(f"p{round(p * 100)}")
-    return times.agg(F.sort_array(F.collect_list(value)).alias("v")).select(at(0.5), at(0.95), at(0.99))
+    """p50, p95 and p99 without interpolation: element floor(p * (n - 1)) of the sorted values; null without values."""
+    return _elements(times, value, {f"p{p}": lambda n, p=p: p * (n - 1) // 100 for p in (50, 95, 99)})
 
 
 def median_time(times: DataFrame, value: str = "us") -> DataFrame:
-    """Element n // 2 of the sorted values."""
-    return times.agg(F.sort_array(F.collect_list(value)).alias("v")).select(F.expr("element_at(v, cast(size(v) div 2 as int) + 1)").alias("median"))
+    """Element n // 2 of the sorted values; null without values."""
+    return _elements(times, value, {"median": lambda n: n // 2})
 
 
 def speedup_cells(times: DataFrame, a: str, b: str) -> DataFrame:

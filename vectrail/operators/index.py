@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vectrail.functions.encoding import pack_bits, sparse_problem, words_per_row
+from vectrail.functions.encoding import pack_bits, sparse_problem, with_ids, words_per_row
 from vectrail.operators.knn import check_dims, knn_join
 from vectrail.types import DENSE, SPARSE, DataType, Metric, require_valid
 
@@ -14,8 +14,8 @@ from vectrail.types import DENSE, SPARSE, DataType, Metric, require_valid
 class VectorIndex:
     """Exact index of one encoding and metric.
 
-    add() takes (id, vec), or (vec) with ids dealt in the order of order_by, continuing across calls; dense
-    dimensions are set by the first add. No row is copied: the corpus is the union of what was added.
+    add() takes (id, vec), or with order_by rows without ids, which are numbered in that order behind those added before;
+    dense dimensions are set by the first add. No row is copied: the corpus is the union of what was added.
     """
 
     def __init__(self, dtype: DataType = DataType.DENSE_FLOAT, metric: Metric = Metric.L2, dim: int = 0, strategy: str = "auto"):
@@ -44,8 +44,10 @@ class VectorIndex:
         else:
             check_dims(df, self.dim if self.dtype in DENSE else words_per_row(self.dim))
 
-    def add(self, df: DataFrame) -> VectorIndex:
+    def add(self, df: DataFrame, order_by: list[str] | None = None) -> VectorIndex:
         self._check_type(df)
+        if order_by is not None:
+            df = with_ids(df.select("vec", *(c for c in order_by if c != "vec")), order_by, self._size)
         first = df.select("vec").first()
         if first is None:
             return self

@@ -3,19 +3,19 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.functions import metrics as M
+from vectrail.operators.block import DDL, GROUP_BYTES, RESULT, SHARE_BYTES, _row_bytes, block_top_k, keep_best
 from vectrail.operators.kmeans import assign, centroids_frame, kmeans, matrix, rank_distances, unit
 from vectrail.operators.knn import check_dims, top_k
-from vectrail.types import Metric
+from vectrail.plans.planner import BROADCAST_ROWS, at_most
+from vectrail.types import DataType, Metric
 
 
 def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, metric: Metric) -> DataFrame:
     """(query_id, vec, list_id) of each query's n_probe nearest lists, ties to the lower list."""
-    import pyarrow as pa
-
     held = queries.sparkSession.sparkContext.broadcast(centroids)
 
     def run(batches):
@@ -31,6 +31,95 @@ def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, metric: Metri
     return queries.select("query_id", "vec").mapInArrow(run, f"query_id long, vec {queries.schema['vec'].dataType.simpleString()}, list_id int")
 
 
+def _best_of_lists(qids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int, metric: Metric):
+    """A function that takes (ids, vectors, lists) of corpus rows, and one that gives each query's k best so far.
+
+    probed has a row for each query and a column for each list that may come.
+    """
+    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+    def take(ids: np.ndarray, m: np.ndarray, lists: np.ndarray) -> None:
+        nonlocal best
+        order = np.argsort(lists, kind="stable")
+        edge = np.append(np.nonzero(np.diff(lists[order], prepend=-1))[0], len(order))
+        found = [best]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            rows = order[a:b]
+            who = np.nonzero(probed[:, lists[rows[0]]])[0]
+            if len(who):
+                qi, i, d = block_top_k(q[who], m[rows], ids[rows], k, DataType.DENSE_FLOAT, metric)
+                found.append((who[qi], i, d))
+        best = keep_best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
+
+    def done():
+        qi, ids, dist = best
+        if len(qi):
+            yield pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
+
+    return take, done
+
+
+def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric, n_lists: int) -> DataFrame:
+    """Candidates (query_id, id, distance) of queries whose number the caller has checked: they travel with the tasks, the
+    lists stay where they are, and rows of lists that no query probes are not looked at."""
+    got = probes.toArrow().combine_chunks()
+    if not got.num_rows:
+        return lists.sparkSession.createDataFrame([], DDL)
+    qids, first, number = np.unique(got["query_id"].to_numpy(), return_index=True, return_inverse=True)
+    q = matrix(got["vec"].combine_chunks().take(pa.array(first)))
+    probed = np.zeros((len(qids), n_lists), bool)
+    probed[number, got["list_id"].to_numpy()] = True
+    held = lists.sparkSession.sparkContext.broadcast((qids, q, probed))
+
+    def run(batches):
+        take, done = _best_of_lists(*held.value, k, metric)
+        for b in batches:
+            if b.num_rows:
+                take(b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy())
+        yield from done()
+
+    asked = np.unique(got["list_id"].to_numpy()).tolist()
+    return lists.where(F.col("list_id").isin(asked) if len(asked) < n_lists else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
+
+
+def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric) -> DataFrame:
+    """The same for any number of queries: a task holds a group of the queries of one list and streams a share of the list
+    past it. Large lists have several shares, and lists that many queries probe have several groups."""
+    share = lambda df, size: F.greatest(F.lit(1), F.ceil(F.col("n") * _row_bytes(df, DataType.DENSE_FLOAT) / size)).cast("int")
+    shares = lists.groupBy("list_id").agg(F.count("*").alias("n")).select("list_id", share(lists, SHARE_BYTES).alias("shares"))
+    groups = probes.groupBy("list_id").agg(F.count("*").alias("n")).select("list_id", share(probes, GROUP_BYTES).alias("groups"))
+    sizes = F.broadcast(shares.join(groups, "list_id"))  # a row for each list
+    vec = F.col("vec").cast("array<double>").alias("vec")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = probes.join(sizes, "list_id").select("list_id", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int").alias("qb"), each("shares").alias("part"), F.lit(0).alias("side"), F.col("query_id").alias("id"), vec)
+    right = lists.join(sizes, "list_id").select("list_id", each("groups").alias("qb"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("part"), F.lit(1).alias("side"), "id", vec)
+    dealt = left.unionByName(right).repartition("list_id", "qb", "part").sortWithinPartitions("list_id", "qb", "part", "side")
+
+    def run(batches):
+        key, held, take, done = None, [], None, lambda: ()
+        for b in batches:
+            if not b.num_rows:
+                continue
+            names = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            edge = [0, *(np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1).tolist(), len(names)]
+            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
+                part, now, side = b.slice(lo, hi - lo), tuple(names[lo, :3]), names[lo, 3]
+                ids, m = part.column(4).to_numpy(), matrix(part.column(5))
+                if now != key:
+                    yield from done()
+                    key, held, take, done = now, [], None, lambda: ()
+                if side == 0:
+                    held.append((ids, m))
+                elif held:
+                    if take is None:
+                        q = np.concatenate([h[1] for h in held])
+                        take, done = _best_of_lists(np.concatenate([h[0] for h in held]), q, np.ones((len(q), 1), bool), k, metric)
+                    take(ids, m, np.zeros(len(ids), np.int64))
+        yield from done()
+
+    return dealt.mapInArrow(run, DDL)
+
+
 class IVFIndex:
     """train once, add any number of times, search. Rows are DataFrames (id, vec)."""
 
@@ -76,9 +165,10 @@ class IVFIndex:
     def size(self) -> int:
         return 0 if self.lists is None else self.lists.count()
 
-    def search(self, queries: DataFrame, k: int, *, pad: bool = False) -> DataFrame:
+    def search(self, queries: DataFrame, k: int, *, pad: bool = False, strategy: str = "auto") -> DataFrame:
         """The k nearest rows among each query's probed lists, exact if n_probe is n_lists.
 
+        strategy: "broadcast" (queries travel with the tasks), "dealt" (any number of queries) or "auto", which counts them.
         pad fills rows up to min(k, size) with id -1 and distance 0.0.
         """
         if not self.is_trained:
@@ -86,9 +176,12 @@ class IVFIndex:
         if self.lists is None or not self.lists.limit(1).count():
             raise RuntimeError("the index is empty")
         check_dims(queries, self.dim)
-        probes = probe(queries, self.centroids, self.n_probe, self.metric).withColumnRenamed("vec", "q_vec")
-        distance = (M.l2_distance if self.metric is Metric.L2 else M.cosine_distance)("q_vec", "vec")
-        found = top_k(probes.join(self.lists, "list_id").select("query_id", "id", distance.alias("distance")), k)
+        probes = probe(queries, self.centroids, self.n_probe, self.metric)
+        if strategy == "broadcast" or (strategy == "auto" and at_most(queries, BROADCAST_ROWS)):
+            near = search_broadcast(probes, self.lists, k, self.metric, self.n_lists)
+        else:
+            near = search_dealt(probes, self.lists, k, self.metric)
+        found = top_k(near, k)
         if not pad:
             return found
         slots = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(min(k, self.size())))).alias("rank")) if k > 0 else queries.select("query_id", F.lit(1).alias("rank")).limit(0)

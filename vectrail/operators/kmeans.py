@@ -1,4 +1,4 @@
-"""Lloyd and spherical k-means with k-means++ seeding; each pass reads the data once and moves n_lists sums a task."""
+"""Lloyd and spherical k-means with k-means++ seeding; each pass reads and assigns the data once and moves n_lists sums a task."""
 
 from __future__ import annotations
 
@@ -49,58 +49,91 @@ def assign(df: DataFrame, centroids: np.ndarray, metric: Metric, vec: str = "vec
     return df.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema) + ", list_id int")
 
 
-def step(df: DataFrame, centroids: np.ndarray, metric: Metric, before: np.ndarray | None = None, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, int]:
-    """One Lloyd pass: (sums, counts, rows whose list differs from that under the centroids before)."""
-    held = df.sparkSession.sparkContext.broadcast((centroids, before))
+def _row_names(m: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's bits."""
+    bits = np.ascontiguousarray(m).view(np.uint64)
+    odd = np.random.default_rng(1).integers(0, 1 << 63, m.shape[1], dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    h = (bits * odd).sum(axis=1, dtype=np.uint64)
+    return h ^ (h >> np.uint64(29))
+
+
+def step(df: DataFrame, centroids: np.ndarray, metric: Metric, vec: str = "vec") -> tuple[np.ndarray, np.ndarray, int]:
+    """One Lloyd pass: (sums, counts, a number that names the assignment).
+
+    A task sends one row a list with its sums; rows of a list are added up before they come to the driver. Two passes with
+    one number assign every row to the same list.
+    """
+    held = df.sparkSession.sparkContext.broadcast(centroids)
     n, dim = centroids.shape
+    schema = "list_id long, n long, name long, s array<double>"
+
+    def batch(lists, counts, names, sums):
+        return pa.RecordBatch.from_arrays([pa.array(lists), pa.array(counts), pa.array(names.view(np.int64)), pa.array(list(sums), pa.list_(pa.float64()))], ["list_id", "n", "name", "s"])
 
     def run(batches):
-        now, was = held.value
-        sums, counts, moved = np.zeros((n, dim)), np.zeros(n, np.int64), 0
+        sums, counts, names = np.zeros((n, dim)), np.zeros(n, np.int64), np.zeros(n, np.uint64)
         for b in batches:
             m = _prepared(b.column(0), metric)
             if len(m):
-                lists = nearest(m, now, metric)
+                lists = nearest(m, held.value, metric)
                 np.add.at(sums, lists, m)
                 counts += np.bincount(lists, minlength=n)
-                moved += len(m) if was is None else int((lists != nearest(m, was, metric)).sum())
+                np.add.at(names, lists, _row_names(m) * (lists.astype(np.uint64) * np.uint64(2) + np.uint64(0x9E3779B97F4A7C15)))
         rows = np.nonzero(counts)[0]
         if len(rows):
-            yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(counts[rows]), pa.array(np.where(np.arange(len(rows)) == 0, moved, 0)), pa.array(list(sums[rows]), pa.list_(pa.float64()))], ["list_id", "n", "moved", "s"])
+            yield batch(rows, counts[rows], names[rows], sums[rows])
 
-    parts = df.select(vec).mapInArrow(run, "list_id long, n long, moved long, s array<double>")
-    dims = F.posexplode("s").alias("pos", "x")
-    total = parts.select("list_id", "n", "moved", dims)
-    # n_lists x dim sums come back; the rows themselves stay where they are.
-    got = total.groupBy("list_id", "pos").agg(F.sum("x").alias("x"), F.sum("n").alias("n"), F.sum("moved").alias("moved")).toPandas()
+    def add(batches):
+        sums, counts, names = np.zeros((n, dim)), np.zeros(n, np.int64), np.zeros(n, np.uint64)
+        for b in batches:
+            lists = b.column(0).to_numpy()
+            np.add.at(sums, lists, matrix(b.column(3)))
+            np.add.at(counts, lists, b.column(1).to_numpy())
+            np.add.at(names, lists, b.column(2).to_numpy().view(np.uint64))
+        rows = np.nonzero(counts)[0]
+        if len(rows):
+            yield batch(rows, counts[rows], names[rows], sums[rows])
+
+    # n_lists rows come back.
+    got = df.select(vec).mapInArrow(run, schema).repartition("list_id").mapInArrow(add, schema).toArrow().combine_chunks()
     sums, counts = np.zeros((n, dim)), np.zeros(n, np.int64)
-    sums[got["list_id"], got["pos"]] = got["x"]
-    first = got[got["pos"] == 0]
-    counts[first["list_id"]] = first["n"]
-    return sums, counts, int(first["moved"].sum())
+    if not got.num_rows:
+        return sums, counts, 0
+    lists = got["list_id"].to_numpy()
+    sums[lists], counts[lists] = matrix(got["s"].combine_chunks()), got["n"].to_numpy()
+    return sums, counts, int(got["name"].to_numpy().view(np.uint64).sum(dtype=np.uint64))
 
 
 def _sample(df: DataFrame, n: int, seed: int, vec: str) -> np.ndarray:
-    """n rows drawn by the hash of their content and a seed: the same whatever the partitions are."""
-    rows = df.select(vec).orderBy(F.xxhash64(F.col(vec), F.lit(seed)), F.col(vec)).limit(n).toArrow().combine_chunks()
-    return matrix(rows.column(0).combine_chunks()) if rows.num_rows else np.zeros((0, 0))
+    """n different rows drawn by the hash of their content and a seed, whatever the partitions are; with fewer, these again."""
+    rows = df.groupBy(vec).agg(F.lit(1)).select(vec).orderBy(F.xxhash64(F.col(vec), F.lit(seed)), F.col(vec)).limit(n).toArrow().combine_chunks()
+    m = matrix(rows.column(0).combine_chunks()) if rows.num_rows else np.zeros((0, 0))
+    return m[np.arange(n) % len(m)] if 0 < len(m) < n else m
+
+
+def _weighted_sample(df: DataFrame, n: int, seed: int, vec: str) -> tuple[np.ndarray, np.ndarray]:
+    """(n different rows at most, how often each stands in the data): copies are one row, however many."""
+    counts = df.groupBy(vec).agg(F.count("*").alias("n"))
+    rows = counts.orderBy(F.xxhash64(F.col(vec), F.lit(seed)), F.col(vec)).limit(n).toArrow().combine_chunks()
+    return (matrix(rows.column(0).combine_chunks()), rows.column(1).to_numpy().astype(np.float64)) if rows.num_rows else (np.zeros((0, 0)), np.zeros(0))
 
 
 def kmeans_pp_init(df: DataFrame, n_lists: int, metric: Metric, seed: int = 42, vec: str = "vec", sample_rows: int = 20_000) -> np.ndarray:
-    """k-means++ seeds from a hash sample of at most sample_rows rows (a documented bound; Lloyd passes read every row).
+    """k-means++ seeds from a hash sample of at most sample_rows different rows, each weighed by its copies (a documented
+    bound; Lloyd passes read every row).
 
     The next seed is drawn in proportion to the squared L2 distance, or to 1 - cosine, from the seeds so far;
-    evenly if all these are zero.
+    in proportion to the copies if all these are zero.
     """
-    m = _sample(df, sample_rows, seed, vec)
+    m, weight = _weighted_sample(df, sample_rows, seed, vec)
     m = unit(m) if metric is Metric.COSINE else m
     rng = np.random.default_rng(seed)
-    chosen = [int(rng.integers(len(m)))]
+    chosen = [int(rng.choice(len(m), p=weight / weight.sum()))]
     best = np.full(len(m), np.inf)
     while len(chosen) < n_lists:
         best = np.minimum(best, np.maximum(0.0, rank_distances(m, m[chosen[-1:]], metric)[:, 0]))
-        total = best.sum()
-        chosen.append(int(rng.choice(len(m), p=best / total if total > 0 else None)))
+        odds = best * weight if (best * weight).sum() > 0 else weight
+        chosen.append(int(rng.choice(len(m), p=odds / odds.sum())))
     return m[chosen]
 
 
@@ -120,14 +153,14 @@ def kmeans(df: DataFrame, n_lists: int, metric: Metric, max_iter: int = 25, seed
     centroids = kmeans_pp_init(df, n_lists, metric, seed, vec) if init is None else np.array(init, np.float64)
     before = None
     for i in range(max_iter):
-        sums, counts, moved = step(df, centroids, metric, before, vec)
-        if before is not None and not moved:
+        sums, counts, name = step(df, centroids, metric, vec)
+        if name == before:
             break
         new = np.where(counts[:, None] > 0, sums / np.maximum(counts, 1)[:, None], 0.0)
         if (counts == 0).any():
             spare = _sample(df, int((counts == 0).sum()), seed + i + 1, vec)
             new[counts == 0] = spare[np.arange((counts == 0).sum()) % len(spare)]
-        before, centroids = centroids, unit(new) if metric is Metric.COSINE else new
+        before, centroids = name, unit(new) if metric is Metric.COSINE else new
     return centroids, assign(df, centroids, metric, vec)
 
 

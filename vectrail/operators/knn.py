@@ -52,11 +52,17 @@ def sparse_inverted(queries: DataFrame, corpus: DataFrame, k: int, metric: Metri
     measure = (lambda p: M.l2_from_dot(p, F.col("q_sq"), F.col("c_sq"))) if metric is Metric.L2 else (lambda p: M.cosine_from_dot(p, F.col("q_sq"), F.col("c_sq")))
     near = found.join(qn, "query_id").join(cn, "id").select("query_id", "id", measure(F.col("dot")).alias("distance"))
     overlaps = found.groupBy("query_id").agg(F.count("*").alias("m"))
-    need = qn.join(overlaps, "query_id", "left").select("query_id", "q_sq", (F.coalesce("m", F.lit(0)) + k).alias("need"))
+    # Only queries whose k-th overlapping row is not nearer than any row without overlap can need these.
+    least = cn.agg(F.min("c_sq")).first()[0] or 0.0
+    bound = F.sqrt(F.col("q_sq") + F.lit(float(least))) if metric is Metric.L2 else F.lit(1.0)
+    settled = top_k(near, k).groupBy("query_id").agg(F.count("*").alias("n"), F.max("distance").alias("kth"))
+    open_ = qn.join(overlaps, "query_id", "left").join(settled, "query_id", "left").where((F.coalesce("n", F.lit(0)) < k) | (F.col("kth") >= bound))
+    need = open_.select("query_id", "q_sq", (F.coalesce("m", F.lit(0)) + k).alias("need"))
     by = ["c_sq", "id"] if metric is Metric.L2 else ["id"]
     most = need.agg(F.max("need")).first()[0] or 0
     walk = cn.orderBy(*by).limit(int(most)).withColumn("pos", F.row_number().over(Window.orderBy(*by)))
-    rest = need.join(walk, F.col("pos") <= F.col("need"), "inner").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
+    wanted = need.select("query_id", "q_sq", F.explode(F.sequence(F.lit(1).cast("long"), F.col("need"))).alias("pos"))
+    rest = wanted.join(walk.withColumn("pos", F.col("pos").cast("long")), "pos").join(found.select("query_id", "id"), ["query_id", "id"], "left_anti")
     far = rest.select("query_id", "id", measure(F.lit(0.0)).alias("distance"))
     return top_k(near.unionByName(far), k)
 
@@ -69,7 +75,7 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, met
     """
     require_valid(dtype, metric)
     if strategy == "auto":
-        strategy = choose_strategy(queries, corpus)
+        strategy = choose_strategy(queries)
     if strategy == "inverted":
         if dtype not in SPARSE:
             raise ValueError("only sparse vectors have an inverted strategy")
@@ -86,7 +92,3 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, met
 def check_dims(df: DataFrame, dim: int, vec: str = "vec") -> None:
     if df.where(F.size(vec) != dim).limit(1).count():
         raise ValueError(f"a vector's dimension differs from {dim}")
-
-
-def as_dense(dtype: DataType) -> bool:
-    return dtype in DENSE

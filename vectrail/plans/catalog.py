@@ -200,7 +200,7 @@ TERMS = "t AS (SELECT item_id AS id, unnest(string_split(lower(text), ' ')) AS w
 def term_cosine_knn(spark, d):
     words = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.explode(F.split(F.lower("text"), " ")).alias("w"))
     g = words.groupBy("id", "w").count()
-    vocabulary = g.select("w").distinct().select("w", F.pmod(F.xxhash64("w"), F.lit(2**31 - 1)).alias("dim_idx"))
+    vocabulary = E.with_ids(g.select("w").distinct(), ["w"]).select("w", F.col("id").alias("dim_idx"))
     s = E.long_to_sparse(g.join(vocabulary, "w").select("id", "dim_idx", F.col("count").cast("double").alias("value")), 2**31 - 1)
     return rounded(knn_join(as_queries(s), s, K, DataType.SPARSE_FLOAT, Metric.COSINE))
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 
-#: Query rows that may be broadcast; at 1,024 doubles a row this is 64 MB.
+#: Query rows that may be broadcast; at 1,024 doubles a row this is 64 MB. Tasks work on them in tiles.
 BROADCAST_ROWS = 8_192
 #: Up to this many queries, expressions inside the JVM cost less than starting Python workers.
 EXPR_ROWS = 32
@@ -15,6 +15,6 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def choose_strategy(queries: DataFrame, corpus: DataFrame) -> str:
+def choose_strategy(queries: DataFrame) -> str:
     n = queries.limit(BROADCAST_ROWS + 1).count()
     return "expr" if n <= EXPR_ROWS else "broadcast" if n <= BROADCAST_ROWS else "block"
