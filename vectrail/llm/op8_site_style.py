@@ -1,38 +1,52 @@
 """Main text of web pages by site style trees.
 
-All pages of a host are merged into one tree of element paths. For each path the corpus gives two entropies: that of
-its presentation (how its child sequences are spread over the pages) and that of its content (how far each text under it is
-spread over the pages; a text that stands on every page has entropy 1). A branch's importance is
+All pages of a host are merged into one tree of element nodes; a node is named by the way to it, by its classes, and by its
+place among its like if it has none. For each node the pages give two entropies: that of its presentation (how its
+child sequences are spread over the pages) and that of its content (how far each text below it is spread over the pages; a
+text that stands on every page has entropy 1). A node's importance is
 
-    (1 - G^l) * presentation + G^l * mean over the leaves below of (1 - mean entropy of their texts)
+    (1 - G^l) * presentation + G^l * mean over the texts below of (1 - entropy), weighted by their words
 
-with l the number of presentations. Pages of a host that are alike count once. Branches of low importance outside the
-article element are removed from each page, after those whose tag, role or class says that they are no article; if
-that would leave a page without text, they stay. Hosts with few different pages, and article elements, are judged by
-tags, roles and classes alone.
+with l the number of presentations. Pages of a host that are alike count once, and a host of few pages leans on what the
+same nodes are like elsewhere: its figures are shrunk towards those of all hosts.
+
+The tree decides in two ways. A branch of low importance goes. And where nearly all that is new below a node lies in one
+of its containers, that container holds the article, and containers beside it with little of their own (words a page times
+importance) go: short advertisements and footers differ from page to page, but hold little. Words below an article or main
+element count more there, and no branch inside such an element goes. Apart from that, elements go whose kind, role or
+whole class name says that they are no article: menus, forms, scripts, comments and the like.
+
+Pages are parsed in one pass whose time is linear in their length, however tags and quotes are nested.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
-from urllib.parse import urlsplit
+from collections import Counter
+from functools import lru_cache
+from hashlib import blake2b
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import hash_texts, table, written
+from vectrail.llm.common import hash_texts, map_batches, small, table, written
 
 G = 0.9
-#: Hosts with fewer pages have no reliable entropies.
-LEAST_PAGES = 8
-#: A branch outside the article element goes below this importance.
-LOW = 0.4
-#: Low branches up to this number are broadcast to the tasks (under 30 MB); beyond it they are joined by host.
+#: Pages that the figures of all hosts count for beside a host's own.
+PRIOR_PAGES = 4.0
+#: A branch goes below this importance, and a container below this share of the largest one beside it.
+LOW, SHARE = 0.4, 0.2
+#: A container holds the article if it has this share of what is new below its parent, and if so few new words a page
+#: stand in the parent itself.
+MOST, DIRECT = 0.5, 1.0
+#: Words inside an article or main element count so many times.
+MARKED = 4
+#: Low branches up to this number are broadcast to the tasks (under 10 MB); beyond it they are joined by host.
 BROADCAST_PATHS = 100_000
-DEPTH = 24
+#: Every level of the first ones has its own nodes; further down those at twice the depth, and so on.
+LEVELS = 24
 
 # Element kinds.
 RAW = frozenset("script style noscript template textarea title iframe xmp".split())
@@ -40,207 +54,313 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
 DROP = RAW | frozenset("head nav footer aside form button select option object embed canvas svg math audio video dialog menu".split())
 ROLES = frozenset("navigation banner contentinfo complementary search alert dialog form menu menubar alertdialog".split())
-MARKS = frozenset("ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies footer gdpr header masthead menu nav navbar navigation newsletter notice pagination popup promo related share sharing sidebar social sponsored subscribe toolbar widget".split())
+# Whole class names and ids of what is no article, and those that are so outside an article only.
+MARKS = frozenset("ad ads advert advertisement advertising breadcrumb breadcrumbs comment comments comment-list commentlist comments-area consent cookie cookies cookie-banner cookie-notice footer gdpr menu nav navbar navigation newsletter notice pagination popup promo related related-posts share sharing share-buttons sidebar site-footer site-header social social-share sponsored subscribe toolbar widget".split())
+OUTER_MARKS = frozenset("header masthead banner page-header main-nav".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
-SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "p": {"p"}}
+SAME_LEVEL = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 STOPS = frozenset("ul ol dl table article section div body main td th".split())
-TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+|[^>]*+)>""", re.S)
+#: Elements that hold text themselves rather than lay out others.
+TEXTUAL = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption dt dd li address hr caption legend summary".split())
+
+OPEN = re.compile(r"<(?:!--|!\[CDATA\[|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+# What follows a tag's name. Quotes count after a = only, and no part can match in two ways, so it is linear.
+REST = re.compile(r"""((?:[^>"'=]++|=\s*+(?:"[^"]*+"|'[^']*+')|[="'])*+)>""")
 ATTR = re.compile(r"""([a-zA-Z-]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+END_OF_RAW = {tag: re.compile(rf"</{tag}(?![a-z0-9:-])", re.IGNORECASE) for tag in RAW}
 
 
 def attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTR.finditer(raw)} if raw else {}
+    return {m[1].lower(): entities.unescape((m[2] or "").strip("\"'")) for m in ATTR.finditer(raw)} if raw and not raw.isspace() else {}
 
 
 def is_boilerplate(tag: str, at: dict[str, str], inside: bool) -> bool:
-    if tag in DROP or (tag == "header" and not inside) or "hidden" in at or at.get("aria-hidden", "").lower() == "true":
+    if tag in DROP or (tag == "header" and not inside):
+        return True
+    if not at:
+        return False
+    if "hidden" in at or at.get("aria-hidden", "").lower() == "true":
         return True
     if at.get("role", "").lower() in ROLES or re.search(r"display\s*:\s*none", at.get("style", "").lower()):
         return True
-    names = re.split(r"[\s_-]+", f"{at.get('class', '')} {at.get('id', '')}".lower())
-    return any(n in MARKS for n in names) and tag not in ("html", "body", "main")
+    if tag in ("html", "body", "main", "article"):
+        return False
+    names = f"{at.get('class', '')} {at.get('id', '')}".lower().split()
+    return any(n in MARKS or (not inside and n in OUTER_MARKS) for n in names)
+
+
+@lru_cache(maxsize=1 << 16)
+def node_id(parent: int, name: str) -> int:
+    return int.from_bytes(blake2b(f"{parent}/{name}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+class Open:
+    """An open block element."""
+
+    __slots__ = ("tag", "node", "chain", "depth", "inside", "bad", "kids", "scope", "inline", "open_inline", "hidden", "names")
+
+    def __init__(self, tag, node, chain, depth, inside, bad, scope):
+        self.tag, self.node, self.chain, self.depth, self.inside, self.bad, self.scope = tag, node, chain, depth, inside, bad, scope
+        self.kids: dict[str, int] = {}
+        self.inline: list[tuple[str, bool]] = []  # open inline elements, and whether they are boilerplate
+        self.open_inline: Counter = Counter()
+        self.hidden = 0
+        self.names: list[str] = []
 
 
 class Page:
-    """Blocks of a page outside boilerplate elements: (path, inside an article or main element, text)."""
+    """Blocks of a page outside boilerplate elements: (chain of nodes, inside an article or main element, text)."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, bool, str]] = []
-        self.styles: dict[str, list[str]] = {}
+        self.blocks: list[tuple[tuple[int, ...], bool, str]] = []
+        self.styles: dict[int, list[str]] = {}
+        #: node: (its parent, whether it is a container, whether it is inside an article, chain)
+        self.nodes: dict[int, tuple[int, bool, bool, tuple[int, ...]]] = {}
         self._parse(source)
 
     def _parse(self, source: str) -> None:
-        # An open element: (tag, path, inside, boilerplate).
-        stack: list[tuple[str, str, bool, bool]] = []
+        stack = [Open("", 0, (0,), 0, False, False, Counter())]
+        count: Counter = Counter()  # open blocks by tag
         text: list[str] = []
-        here = ("", False, False)
+        quoted = True  # whether quotes are paired; not after a tag that they would never end
 
         def flush():
             if text:
                 joined = " ".join("".join(text).split())
-                if joined and not here[2]:
-                    self.blocks.append((here[0], here[1], joined))
+                if joined:
+                    self.blocks.append((stack[-1].chain, stack[-1].inside, joined))
                 text.clear()
 
-        at, low = 0, None
-        size = len(source)
+        def pop():
+            gone = stack.pop()
+            count[gone.tag] -= 1
+            gone.scope[gone.tag] -= 1
+
+        def shown():
+            return not (stack[-1].bad or stack[-1].hidden)
+
+        at, size = 0, len(source)
         while at < size:
-            m = TAG.search(source, at)
+            m = OPEN.search(source, at)
             piece = source[at : m.start()] if m else source[at:]
-            if piece and not here[2]:
+            if piece and shown():
                 text.append(entities.unescape(piece) if "&" in piece else piece)
             if not m:
                 break
             at = m.end()
-            if not m[2]:
+            if m[2] is None:
+                ending = "-->" if m[0] == "<!--" else "]]>" if len(m[0]) > 4 else ">"
+                end = source.find(ending, at)
+                at = size if end < 0 else end + len(ending)
                 continue
             tag = m[2].lower()
-            if m[1]:
-                if tag not in INLINE:
-                    flush()
-                k = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-                if k is not None and not (tag in INLINE and any(x[0] not in INLINE for x in stack[k:])):
-                    del stack[k:]
+            rest = REST.match(source, at) if quoted else None
+            if rest:
+                raw, at = rest[1], rest.end()
             else:
-                block = tag not in INLINE
-                if block:
+                quoted = False
+                end = source.find(">", at)
+                if end < 0:  # no tag ends any more: this is text
+                    if shown():
+                        text.append(source[m.start() :])
+                    break
+                raw, at = source[at:end], end + 1
+            if m[1]:
+                if tag in INLINE:
+                    self._close_inline(stack[-1], tag)
+                else:
                     flush()
-                    if tag in CLOSES_P:
-                        self._close(stack, {"p"})
-                    if tag in SAME_LEVEL:
-                        self._close(stack, SAME_LEVEL[tag])
-                elif tag == "br" and not here[2]:
+                    if count[tag] > 0:
+                        while stack[-1].tag != tag:
+                            pop()
+                        pop()
+                continue
+            if tag in INLINE:
+                if tag == "br" and shown():
                     text.append(" ")
-                if tag in VOID:
-                    continue
-                _, path, inside, bad = stack[-1] if stack else ("", "", False, False)
-                at_ = attributes(m[3]) if not bad else {}
-                inside = inside or tag in ("article", "main")
-                bad = bad or is_boilerplate(tag, at_, inside)
-                if block:
-                    name = ".".join([tag, *sorted(at_.get("class", "").split())])
-                    if not bad:
-                        self.styles.setdefault(path, []).append(name)
-                    if path.count("/") < DEPTH:
-                        path = f"{path}/{name}"
-                if m[3].endswith("/") and tag not in CLOSES_P:
-                    pass
-                if tag in RAW:
-                    low = low if low is not None else source.lower()
-                    end = low.find(f"</{tag}", at)
-                    at = size if end < 0 else end
-                stack.append((tag, path, inside, bad))
-            _, *top = stack[-1] if stack else ("", "", False, False)
-            here = tuple(top)
+                if tag not in VOID:
+                    top = stack[-1]
+                    bad = shown() and is_boilerplate(tag, attributes(raw), top.inside)
+                    top.hidden += bad
+                    top.inline.append((tag, bad))
+                    top.open_inline[tag] += 1
+                continue
+            flush()
+            if tag in CLOSES_P:
+                self._close(stack, pop, ("p",))
+            if tag in SAME_LEVEL:
+                self._close(stack, pop, SAME_LEVEL[tag])
+            top = stack[-1]
+            bad = not shown()
+            given = {} if bad else attributes(raw)
+            inside = top.inside or tag in ("article", "main")
+            bad = bad or is_boilerplate(tag, given, inside)
+            if tag in VOID:
+                continue
+            node, chain = top.node, top.chain
+            if not bad:
+                classes = sorted(given.get("class", "").split())
+                name = ".".join([tag, *classes])
+                container = tag not in TEXTUAL
+                if container and not classes:
+                    nth = top.kids.get(tag, 0)
+                    top.kids[tag] = nth + 1
+                    name = f"{tag}#{nth}"
+                top.names.append(name)
+                node = node_id(top.node, name)
+                depth = top.depth + 1
+                if depth <= LEVELS or depth & (depth - 1) == 0:
+                    chain = (*chain, node)
+                    if node not in self.nodes:
+                        self.nodes[node] = (chain[-2], container, inside, chain)
+            if tag in RAW:
+                end = END_OF_RAW[tag].search(source, at)
+                at = end.start() if end else size
+            scope = Counter() if tag in STOPS else top.scope
+            scope[tag] += 1
+            count[tag] += 1
+            stack.append(Open(tag, node, chain, top.depth + 1, inside, bad, scope))
+            if not bad:
+                self.styles.setdefault(chain[-1], stack[-1].names)
         flush()
 
     @staticmethod
-    def _close(stack, tags) -> None:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
-                del stack[i:]
-                return
-            if stack[i][0] in STOPS:
-                return
+    def _close_inline(top: Open, tag: str) -> None:
+        if top.open_inline[tag] > 0:
+            gone = None
+            while gone != tag:
+                gone, bad = top.inline.pop()
+                top.open_inline[gone] -= 1
+                top.hidden -= bad
 
+    @staticmethod
+    def _close(stack, pop, tags) -> None:
+        while any(stack[-1].scope[t] > 0 for t in tags):
+            while stack[-1].tag not in tags:
+                pop()
+            pop()
 
-def host_of(url: str | None) -> str:
-    try:
-        return (urlsplit(url or "").netloc or "").lower()
-    except ValueError:
-        return ""
 
+def host_column(url: str = "url") -> Column:
+    """The host of an address, lower-cased; empty if there is none."""
+    return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1))
 
-def prefixes(path: str) -> list[str]:
-    parts = path.split("/")
-    return ["/".join(parts[: i + 1]) for i in range(1, len(parts))]
 
+RAW_ROWS = "host string, kind int, node long, hash long, words long, page long, parent long, container boolean, inside boolean, chain array<long>"
 
-def style_tree(pages: DataFrame) -> DataFrame:
-    """(host, path, inside, pages, share, importance) of every branch of every host with pages enough.
 
-    Texts are counted by (host, path, hash), so the texts of a large host are spread over all tasks. Pages whose blocks
-    and child sequences are alike are one page.
-    """
+def page_rows(pages: DataFrame) -> DataFrame:
+    """What each page tells of its host's tree: texts (kind 0), child sequences (1), nodes (2) and itself (3)."""
 
     def run(batches):
         for b in batches:
-            found: dict = {}
-            for url, source in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                page = Page(source.as_py() or "")
-                seen = {(path, inside, 0, text) for path, inside, text in page.blocks}
-                seen |= {(path, False, 1, " ".join(names)) for path, names in page.styles.items()}
-                seen |= {(p, i, 2, "") for path, i, _ in page.blocks for p in prefixes(path)}
-                seen.add(("", False, 3, ""))
-                whole = hash_texts([repr((page.blocks, list(page.styles.items())))])[0]
-                found[(host_of(url), whole)] = seen
-            if found:
-                keys = [(host, *s, whole) for (host, whole), seen in found.items() for s in seen]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k[0] for k in keys]), pa.array([k[1] for k in keys]), pa.array([k[2] for k in keys]), pa.array([k[3] for k in keys], pa.int32()), pa.array(hash_texts([k[4] for k in keys])), pa.array([k[5] for k in keys], pa.int64())],
-                    ["host", "path", "inside", "kind", "hash", "page"],
-                )
-
-    raw = pages.select("url", "html").mapInArrow(run, "host string, path string, inside boolean, kind int, hash long, page long").distinct()
-    counts = raw.groupBy("host", "path", "inside", "kind", "hash").agg(F.count("*").alias("n"))
-    stats = written(counts.groupBy("host", "path", "inside", "kind").agg(F.sum("n").alias("n"), F.count("*").alias("l"), F.sum(F.log("n")).alias("logs"), F.sum(F.col("n") * F.log("n")).alias("n_log_n")), "style-tree")
-    m = stats.where("kind = 3").groupBy("host").agg(F.sum("n").alias("m")).where(F.col("m") >= LEAST_PAGES)
-    texts = stats.where("kind = 0").join(m, "host").withColumn("leaf", 1 - F.least(F.lit(1.0), F.col("logs") / F.col("l") / F.log("m")))
-    steps = F.split("path", "/")
-    below = texts.select("host", "inside", "leaf", "n", F.explode(F.transform(F.sequence(F.lit(2), F.size(steps)), lambda i: F.array_join(F.slice(steps, 1, i), "/"))).alias("path"))
-    leaves = below.groupBy("host", "path", "inside").agg((F.sum(F.col("leaf") * F.col("n")) / F.sum("n")).alias("content"))
-    looks = stats.where("kind = 1").join(m, "host").groupBy("host", "path").agg(F.sum("l").alias("l"), F.max((F.log("n") - F.col("n_log_n") / F.col("n")) / F.log("m")).alias("look"))
-    shares = stats.where("kind = 2").join(m, "host").groupBy("host", "path", "inside").agg((F.sum("n") / F.max("m")).alias("share"), F.sum("n").alias("pages"))
-    both = leaves.join(shares, ["host", "path", "inside"]).join(looks, ["host", "path"], "left")
-    g = F.pow(F.lit(G), F.coalesce("l", F.lit(1)))
-    return both.select("host", "path", "inside", "pages", "share", ((1 - g) * F.coalesce("look", F.lit(0.0)) + g * F.col("content")).alias("importance"))
+            for lo in range(0, b.num_rows, 256):
+                part = b.slice(lo, 256)
+                rows: set[tuple] = set()
+                for host, source in zip(part.column(0).to_pylist(), part.column(1), strict=True):
+                    page = Page(source.as_py() or "")
+                    texts = hash_texts([t for _, _, t in page.blocks]).tolist()
+                    styles = list(page.styles.items())
+                    looks = hash_texts([" ".join(names) for _, names in styles]).tolist()
+                    whole = int(hash_texts([repr((texts, [c for c, _, _ in page.blocks], looks, [n for n, _ in styles]))])[0])
+                    rows |= {(host, 0, c[-1], h, len(t.split()) * (MARKED if i else 1), whole, None, None, None, None) for (c, i, t), h in zip(page.blocks, texts, strict=True)}
+                    rows |= {(host, 1, n, h, None, whole, None, None, None, None) for (n, _), h in zip(styles, looks, strict=True)}
+                    rows |= {(host, 2, n, None, None, None, p, c, i, chain) for n, (p, c, i, chain) in page.nodes.items()}
+                    rows.add((host, 3, None, None, None, whole, None, None, None, None))
+                types = (pa.string(), pa.int32(), *(pa.int64(),) * 5, pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
+                names = [f.split()[0] for f in RAW_ROWS.split(", ")]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+
+    return map_batches(pages.select(host_column().alias("host"), "html"), run, RAW_ROWS)
+
+
+def style_tree(pages: DataFrame) -> DataFrame:
+    """(host, node, parent, container, inside, words, importance) of every node below a host's pages.
+
+    words is the number a page, importance as described above; both lean on all hosts where a host has few pages. Texts are
+    counted by (host, node, hash), so those of a large host are spread over all tasks.
+    """
+    raw = written(page_rows(pages).distinct(), "page-rows")
+    m = raw.where("kind = 3").groupBy("host").agg(F.count("*").alias("m"))
+    texts = raw.where("kind = 0").groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.max("words").alias("w")).join(m, "host")
+    entropy = F.when(F.col("m") > 1, F.least(F.lit(1.0), F.log("n") / F.log("m"))).otherwise(F.lit(0.0))
+    mass = F.col("n") * F.col("w")
+    leaves = texts.select("host", "node", mass.alias("mass"), (mass * (1 - entropy)).alias("new")).groupBy("host", "node").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
+    nodes = raw.where("kind = 2").select("host", "node", "parent", "container", "inside", "chain").dropDuplicates(["host", "node"])
+    below = leaves.join(nodes.select("host", "node", "chain"), ["host", "node"], "left").select("host", "mass", "new", F.explode(F.coalesce("chain", F.array(F.lit(0).cast("long")))).alias("node"))
+    branches = below.groupBy("host", "node").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
+    looks = raw.where("kind = 1").groupBy("host", "node", "hash").agg(F.count("*").alias("n"))
+    looks = looks.groupBy("host", "node").agg(F.count("*").alias("l"), F.sum("n").alias("N"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
+    own = branches.join(m, "host").join(looks, ["host", "node"], "left")
+    g = F.pow(F.lit(G), F.coalesce("l", F.lit(0)))
+    look = F.when(F.col("m") > 1, F.least(F.lit(1.0), F.coalesce((F.log("N") - F.col("n_log_n") / F.col("N")) / F.log("m"), F.lit(0.0)))).otherwise(F.lit(1.0))
+    own = written(own.select("host", "node", "m", "mass", ((1 - g) * look + g * F.col("new") / F.greatest("mass", F.lit(1))).alias("importance")), "style-tree")
+    everywhere = own.groupBy("node").agg((F.sum("mass") / F.sum("m")).alias("all_words"), (F.sum(F.col("importance") * F.col("m")) / F.sum("m")).alias("all_importance"))
+    shrunk = lambda x, of_all: (F.col("m") * x + PRIOR_PAGES * F.col(of_all)) / (F.col("m") + PRIOR_PAGES)
+    both = own.join(everywhere, "node").select("host", "node", shrunk(F.col("mass") / F.col("m"), "all_words").alias("words"), shrunk(F.col("importance"), "all_importance").alias("importance"))
+    return both.join(nodes.select("host", "node", "parent", "container", "inside"), ["host", "node"])
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
+    """(host, node) of the branches that the tree removes."""
+    score = F.col("words") * F.col("importance")
+    of_parent = Window.partitionBy("host", "parent")
+    t = tree.withColumn("score", score)
+    t = t.withColumns({
+        "best": F.max(F.when(F.col("container"), F.col("score"))).over(of_parent),
+        "total": F.sum("score").over(of_parent),
+        "direct": F.sum(F.when(~F.col("container"), F.col("score")).otherwise(0.0)).over(of_parent),
+    })
+    laid_out = (F.col("best") >= MOST * F.col("total")) & (F.col("direct") < DIRECT)
+    beside = F.col("container") & laid_out & (F.col("score") < SHARE * F.col("best"))
     # The way down to the article is no branch of its own.
-    return tree.where(~F.col("inside") & (F.col("importance") < LOW) & ~F.col("path").rlike("(^|/)(html|body)[^/]*$")).select("host", "path", "inside")
+    alone = F.col("container") & (F.col("score") == F.col("best")) & (F.col("best") >= MOST * F.col("total"))
+    low = (F.col("importance") < LOW) & ~alone
+    return t.where(~F.col("inside") & (low | beside)).select("host", "node")
 
 
 def main_text(page: Page, low: frozenset) -> str:
-    """Kept blocks in page order. If the page has an article or main element with text, blocks outside are not the article."""
-    kept = [(i, t) for path, i, t in page.blocks if not any((p, i) in low for p in prefixes(path))]
-    kept = kept or [(i, t) for _, i, t in page.blocks]
-    inside = [t for i, t in kept if i]
-    return "\n\n".join(inside or [t for _, t in kept])
+    """The blocks in page order that the tree leaves; all blocks if it leaves none."""
+    kept = [t for chain, inside, t in page.blocks if inside or low.isdisjoint(chain)]
+    return "\n\n".join(kept or [t for _, _, t in page.blocks])
 
 
 def extract(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text) of every row of pages (page_id, url, html; others are not read).
+    """(page_id, url, text) of every row of pages (page_id, url, html; others are not read, whatever their names).
 
-    A null or empty html gives an empty text; a null url belongs to the host without a name.
+    A null or empty html gives an empty text; a null url belongs to the host without a name. Repeated rows have equal
+    texts; an empty table gives no row; pages are read whole, however long.
     """
     low = written(low_branches(style_tree(pages)), "low-branches")
     names = "page_id long, url string, text string"
+    rows = pages.select("page_id", "url", "html", host_column().alias("host"))
 
-    def rows(b, low_of):
-        texts = [main_text(Page(s.as_py() or ""), low_of(i, u)) for i, (u, s) in enumerate(zip(b.column(1).to_pylist(), b.column(2), strict=True))]
-        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
+    def texts(b, low_of):
+        found = [main_text(Page(s.as_py() or ""), low_of(i)) for i, s in enumerate(b.column(2))]
+        return pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([t.encode("utf-8", "replace").decode() for t in found], pa.string())], ["page_id", "url", "text"])
 
-    if low.limit(BROADCAST_PATHS + 1).count() <= BROADCAST_PATHS:
+    if small(low, BROADCAST_PATHS):
         by_host: dict[str, set] = {}
         for r in low.collect():
-            by_host.setdefault(r.host, set()).add((r.path, r.inside))
+            by_host.setdefault(r.host, set()).add(r.node)
         held = pages.sparkSession.sparkContext.broadcast({k: frozenset(v) for k, v in by_host.items()})
 
         def run(batches):
             for b in batches:
-                yield rows(b, lambda i, u: held.value.get(host_of(u), frozenset()))
+                hosts = b.column(3).to_pylist()
+                yield texts(b, lambda i: held.value.get(hosts[i], frozenset()))
 
-        return pages.select("page_id", "url", "html").mapInArrow(run, names)
+        return map_batches(rows, run, names)
 
     def run_joined(batches):
         for b in batches:
             lists = b.column(3).to_pylist()
-            yield rows(b, lambda i, u: frozenset((x["path"], x["inside"]) for x in lists[i] or ()))
+            yield texts(b, lambda i: frozenset(lists[i] or ()))
 
-    host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1), F.lit("")))
-    per_host = low.groupBy("host").agg(F.collect_list(F.struct("path", "inside")).alias("low"))
-    return pages.withColumn("host", host).join(per_host, "host", "left").select("page_id", "url", "html", "low").mapInArrow(run_joined, names)
+    # A large host's pages are split by Spark's handling of skewed joins; its list is as long as its tree.
+    per_host = low.groupBy("host").agg(F.collect_list("node").alias("low"))
+    return map_batches(rows.join(per_host, "host", "left").select("page_id", "url", "html", "low"), run_joined, names)
 
 
 def op8_site_style(spark, sf_dir: str) -> DataFrame:
