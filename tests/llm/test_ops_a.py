@@ -98,13 +98,15 @@ def naive_license(t):
 
 
 def naive_notices(t):
+    """Label and best containment of every template that some block holds."""
     words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    out = set()
-    for n in op2_license_scan.NOTICES:
-        s = set(n.text.split())
-        for lo in range(0, max(1, len(words)), 32):
-            if len(s & set(words[lo : lo + 64])) >= n.threshold * len(s) - 1e-9:
-                out.add(n.label)
+    out = {}
+    for n in op2_license_scan.NOTICES + op2_license_scan.LICENSES:
+        s = set(n.words)
+        for lo in range(0, max(1, len(words)), n.block // 2):
+            share = len(s & set(words[lo : lo + n.block])) / len(s)
+            if share >= n.threshold - 1e-9:
+                out[n.label] = max(out.get(n.label, 0.0), share)
     return out
 
 
@@ -115,6 +117,8 @@ def test_license_scan_against_brute_force(spark, tmp_path):
     texts += [" ".join(random.choice(bag) for _ in range(random.choice((5, 40, 300)))) for _ in range(150)]
     notices = [n.text for n in op2_license_scan.NOTICES]
     texts += ["lorem " * random.randint(0, 90) + " ".join(w for w in random.choice(notices).split() if random.random() > 0.1) for _ in range(60)]
+    whole = [n.text for n in op2_license_scan.LICENSES]
+    texts += whole + ["lorem ipsum " * random.randint(0, 400) + " ".join(w for w in random.choice(whole).split() if random.random() > 0.04) + " end" * random.randint(0, 300) for _ in range(40)]
     docs(spark, texts).write.parquet(str(tmp_path / "documents.parquet"))
     got = {r.doc_id: r for r in op2_license_scan.op2_license_scan(spark, str(tmp_path)).collect()}
     for i, t in enumerate(texts):
@@ -123,7 +127,10 @@ def test_license_scan_against_brute_force(spark, tmp_path):
         assert (got[i].first_word, got[i].last_word) == ((places[0][0], places[-1][0]) if places else (None, None))
         base = {p[1] for p in places}
         assert got[i].base_labels == ",".join(sorted(base))
-        assert got[i].labels == ",".join(sorted(base | naive_notices(t)))
+        notices = naive_notices(t)
+        assert got[i].labels == ",".join(sorted(base | set(notices))), t
+        assert got[i].score == pytest.approx(max([*notices.values(), *(1.0 for _ in base)], default=0.0))
+    assert all(max(len(n.words) for n in op2_license_scan.TEMPLATES) > 33 and n.block >= 2 * len(n.words) for n in op2_license_scan.TEMPLATES)
 
 
 def test_factorisation_identity():
@@ -177,6 +184,7 @@ def test_random_access():
     rng = np.random.default_rng(1)
     ids = rng.choice([3, 255, 256, 65535, 65536, 1 << 24, 4_000_000_000], 5000).astype(np.uint32)
     s = op4_token_codes.Shard(op4_token_codes.pack_shard([1, None], np.array([2000, 3000]), ids))
-    assert (s.ids() == ids).all() and s.doc_ids == [1, None]
+    assert (s.at(np.arange(5000)) == ids).all() and s.doc_ids == [1, None]
     assert all(s.token(i) == ids[i] for i in rng.integers(0, 5000, 500))
-    assert (s.document(1)[:50] == ids[2000:2050]).all()
+    assert (s.document(1) == ids[2000:]).all() and (s.document(0) == ids[:2000]).all()
+    assert len(op4_token_codes.Shard(op4_token_codes.pack_shard([], np.zeros(0, np.int64), np.zeros(0, np.uint32))).at(np.zeros(0, np.int64))) == 0

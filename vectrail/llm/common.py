@@ -1,8 +1,11 @@
-"""What the operators share: text buffers, word hashes and folders that all executors see."""
+"""What the operators share: text buffers, word hashes, lean Python stages and folders that all executors see."""
 
 from __future__ import annotations
 
+import ctypes
+import hashlib
 import uuid
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +14,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel works on at once; a longer text is worked on alone.
-CHUNK = 1 << 20
-# Multipliers of the prefix hash and of the finaliser: odd, otherwise arbitrary.
-P = np.uint64(0x9E3779B97F4A7C15)
-P_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+CHUNK = 1 << 18
+#: Bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's default of 64 MB.
+BATCH_BYTES = "4m"
+#: Rows of a file, at least, where the number of rows is known.
+FILE_ROWS = 100_000
+#: Words of more bytes are hashed one by one.
+LONG_WORD = 256
+# Multipliers of the hashes: odd, otherwise arbitrary.
+M0 = np.uint64(0x9E3779B97F4A7C15)
 M1 = np.uint64(0xFF51AFD7ED558CCD)
 M2 = np.uint64(0xC4CEB9FE1A85EC53)
-_powers: dict[str, np.ndarray] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,20 +32,70 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which driver and executors share; a local one only where that is unset."""
+    """A new folder under spark.checkpoint.dir, which driver and executors share.
+
+    Where that is unset, a folder of this machine serves if the master is local; on a cluster this raises.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         import tempfile
 
         base = f"file://{tempfile.gettempdir()}/vectrail-shared"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder: computed once, and still there when an executor is lost."""
+def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """df as a table in the shared folder: computed once, and still there when an executor is lost.
+
+    Where rows, a bound on its number of rows, is given, it is written by no more tasks than these need.
+    """
     path = shared_folder(df.sparkSession, name)
+    df = df if rows is None else df.coalesce(max(4, rows // FILE_ROWS))
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._shared_path = path
+    return out
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes tables made by written() that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_shared_path", None)
+        if path:
+            spark = df.sparkSession
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def small(df: DataFrame, rows: int) -> bool:
+    """Whether df has no more rows; reads no further than it must."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def release() -> None:
+    """Gives the memory that a worker no longer uses back to the machine; idle workers keep only what they cache."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def map_batches(df: DataFrame, run: Callable, schema: str) -> DataFrame:
+    """mapInArrow with batches of bounded bytes and workers that give memory back at a task's end."""
+    conf = df.sparkSession.conf
+    if conf.get("spark.sql.execution.arrow.maxBytesPerBatch") in ("67108864b", "67108864", "64m", "64MB"):
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+
+    def lean(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return df.mapInArrow(lean, schema)
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -62,17 +119,8 @@ def row_chunks(offsets: np.ndarray, size: int = CHUNK):
         lo = min(hi, n)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers.get("p", ())) < n + 1:
-        size = max(n + 1, CHUNK + 1)
-        for k, base in (("p", P), ("i", P_INV)):
-            x = np.full(size, base, np.uint64)
-            x[0] = 1
-            _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers["p"][: n + 1], _powers["i"][: n + 1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit numbers."""
     h = h ^ (h >> np.uint64(33))
     h = h * M1
     h ^= h >> np.uint64(33)
@@ -80,21 +128,36 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Prefix sums from which span_hash takes the hash of any span of the bytes."""
-    p, _ = powers(len(data))
-    h = np.empty(len(data) + 1, np.uint64)
-    h[0] = 0
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:-1], out=h[1:])
+def eights(data: np.ndarray) -> np.ndarray:
+    """A view: the eight bytes from each place of the data; behind its end they are zero."""
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    return np.lib.stride_tricks.sliding_window_view(padded, 8)
+
+
+def word_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of bytes, which depends on these bytes and the seed alone.
+
+    Eight bytes at a time are scrambled into it, so no two words of one length of up to eight bytes share a hash; longer
+    words do with the chance of 2**-64 a pair, whatever their structure. Words beyond LONG_WORD take a BLAKE2 digest.
+    """
+    size = (ends - starts).astype(np.int64)
+    h = mix(size.astype(np.uint64) + np.uint64((seed + 1) * int(M0) & (1 << 64) - 1))
+    window = eights(data)
+    rest = np.nonzero((size > 0) & (size <= LONG_WORD))[0]
+    at = 0
+    while len(rest):
+        left = size[rest] - at
+        x = window[starts[rest] + at].view(np.uint64).ravel()
+        short = left < 8
+        x[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+        h[rest] = mix(h[rest] * M0 + x)
+        rest, at = rest[left > 8], at + 8
+    for i in np.nonzero(size > LONG_WORD)[0].tolist():
+        h[i] = int.from_bytes(hashlib.blake2b(data[starts[i] : ends[i]].tobytes(), digest_size=8, key=seed.to_bytes(8, "little")).digest(), "little")
     return h
 
 
-def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hash of each span of bytes: equal bytes give equal hashes, wherever they stand."""
-    _, inverse = powers(len(prefix) - 1)
-    return mix((prefix[ends] - prefix[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * M2)
-
-
 def runs(mask: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the runs of True; no run crosses one of the cuts (sorted positions)."""
     if not len(mask):
@@ -126,7 +189,7 @@ def null_safe_text(df: DataFrame, *keep: str) -> DataFrame:
 
 def hash_texts(texts: list[str]) -> np.ndarray:
     """Signed 64-bit hash of each text."""
-    raw = [t.encode() for t in texts]
-    ends = np.cumsum([len(r) for r in raw])
-    data = np.frombuffer(b"".join(raw), np.uint8)
-    return span_hash(prefix_hash(data), ends - [len(r) for r in raw], ends).view(np.int64)
+    raw = [t.encode("utf-8", "surrogatepass") for t in texts]
+    size = np.array([len(r) for r in raw], np.int64)
+    ends = np.cumsum(size)
+    return word_hash(np.frombuffer(b"".join(raw), np.uint8), ends - size, ends).view(np.int64)

@@ -14,7 +14,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import documents, table, written
+from vectrail.llm.common import documents, small, table, written
 
 #: 1: the word counts. Whichever words are replaced, if SHARE of a window of SHORT to WINDOW words is left, a mask meets
 #: only words that are left (a test goes through all choices). With five counted words that takes seven masks.
@@ -74,10 +74,6 @@ def document_seeds(docs: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return arrays.select("key", F.posexplode("s").alias("pos", "seed"))
 
 
-def small(df: DataFrame, limit: int) -> bool:
-    return df.limit(limit + 1).count() <= limit
-
-
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
     """(key, doc_id, item_id, offset, matched, compared): alignments whose best window reaches SHARE.
 

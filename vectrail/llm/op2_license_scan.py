@@ -1,16 +1,18 @@
 """License scan: an exact set-similarity join of text blocks with license templates by containment.
 
-Blocks are windows of 64 words, one every 32, so that any passage of up to 33 words lies whole in some block. A block
-matches a template when it holds at least the threshold's share of the template's distinct words. Template words are
-put in order of their frequency in the whole corpus, rarest first; a block that holds o words of a template of n words
-must hold one of its first n - o + 1, so only blocks with such a prefix word are looked at (prefix filter), those with too
-few template words are dropped (length filter), as are those whose words after the common one cannot reach o
-(positional filter). What is left is counted exactly.
+Blocks are windows of words that begin at every half of their length. A template's blocks have a power of two of words, at
+least twice its own, so that any passage of its length and one word more lies whole in one of them, however long the template is:
+templates may be notices or whole license texts. A block matches a template when it holds at least the threshold's share of
+the template's distinct words. Template words are put in order of their frequency in the whole corpus, rarest first; a block
+that holds o words of a template of n words must hold one of its first n - o + 1, so only blocks with such a prefix word
+are looked at (prefix filter), those with too few template words are dropped (length filter), as are those whose words after
+the common one cannot reach o (positional filter). What is left is counted exactly.
 """
 
 from __future__ import annotations
 
 import math
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,9 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import LOWER, null_safe_text, prefix_hash, row_chunks, runs, span_hash, table, text_buffers
+from vectrail.llm.common import LOWER, map_batches, null_safe_text, row_chunks, runs, table, text_buffers, word_hash
 
-BLOCK, STRIDE = 64, 32
+LEAST_BLOCK = 64
 THRESHOLD = 0.85
 WORD = np.zeros(256, bool)
 WORD[48:58] = WORD[97:123] = WORD[128:] = True
@@ -33,32 +35,91 @@ class Template:
     threshold: float = THRESHOLD
     phrase: bool = False  #: its words must stand one after the other
 
+    @property
+    def words(self) -> list[str]:
+        return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), self.text))
 
-# The phrases and their labels, then notices whose words may be reworded or reordered.
-PHRASES = (Template("mit", "under the mit license", 1.0, True), Template("apache-2", "apache license version 2", 1.0, True), Template("cc by nc".replace(" ", "-"), "cc by nc", 1.0, True))
+    @property
+    def block(self) -> int:
+        """Words of a block that this template is looked for in."""
+        return max(LEAST_BLOCK, 1 << (2 * len(self.words) - 1).bit_length())
+
+
+# The phrases and their labels.
+PHRASES = (Template("mit", "under the mit license", 1.0, True), Template("apache-2", "apache license version 2", 1.0, True), Template("cc-by-nc", "cc by nc", 1.0, True))
+# Notices, and license texts without their names and dates.
 NOTICES = (
     Template("gpl-3", "this work is licensed under the gnu general public license version 3"),
     Template("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
     Template("apache-2", "you may not use this file except in compliance with the license you may obtain a copy of the license at"),
-    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
     Template("mpl-2", "this source code form is subject to the terms of the mozilla public license"),
     Template("cc-by", "this work is licensed under a creative commons attribution international license"),
-    Template("unlicense", "this is free and unencumbered software released into the public domain"),
     Template("proprietary", "all rights reserved no part of this publication may be reproduced or transmitted in any form"),
+    Template("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    Template("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    Template("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
-TEMPLATES = PHRASES + NOTICES
+# Whole license texts.
+LICENSES = (
+    Template(
+        "mit",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, "
+        "including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is "
+        "furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND "
+        "NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, "
+        "OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    Template(
+        "isc",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice "
+        "appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. "
+        "IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION "
+        "OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    Template(
+        "bsd",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the "
+        "above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the "
+        "following disclaimer in the documentation and/or other materials provided with the distribution. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS AND ANY EXPRESS OR "
+        "IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR "
+        "CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF "
+        "USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN "
+        "ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    Template(
+        "zlib",
+        "This software is provided as-is, without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is "
+        "granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: The origin of "
+        "this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would "
+        "be appreciated but is not required. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. This notice may not be removed or "
+        "altered from any source distribution.",
+    ),
+    Template(
+        "apache-2",
+        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at "
+        "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT "
+        "WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.",
+    ),
+    Template(
+        "gpl",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version of the "
+        "License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY "
+        "or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.",
+    ),
+)
+TEMPLATES = PHRASES + NOTICES + LICENSES
 
 
 def hash_words(words: list[bytes]) -> np.ndarray:
     data = np.frombuffer(b" ".join(words), np.uint8)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
-    return span_hash(prefix_hash(data), ends - [len(w) for w in words], ends)
+    return word_hash(data, ends - [len(w) for w in words], ends)
 
 
 def vocabulary(templates) -> tuple[list[bytes], np.ndarray]:
-    words = sorted({w.encode() for t in templates for w in t.text.split()})
+    words = sorted({w.encode() for t in templates for w in t.words})
     h = hash_words(words)
     order = np.argsort(h)
     return [words[i] for i in order], h[order]
@@ -68,7 +129,7 @@ def scan_words(data: np.ndarray, cuts: np.ndarray, known: np.ndarray):
     """(starts, index of the known word or -1) of the words of lower-cased texts laid end to end."""
     low = LOWER[data]
     starts, ends = runs(WORD[low], cuts)
-    h = span_hash(prefix_hash(low), starts, ends)
+    h = word_hash(low, starts, ends)
     at = np.minimum(np.searchsorted(known, h), len(known) - 1)
     return starts, np.where(known[at] == h, at, -1)
 
@@ -87,7 +148,7 @@ def word_frequencies(docs: DataFrame, templates=TEMPLATES) -> list[int]:
                 counts += np.bincount(ids[ids >= 0], minlength=len(words))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(words))), pa.array(counts)], ["w", "n"])
 
-    got = dict(null_safe_text(docs).mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n")).collect())
+    got = dict(map_batches(null_safe_text(docs), run, "w long, n long").groupBy("w").agg(F.sum("n")).collect())
     return [got.get(i, 0) for i in range(len(words))]
 
 
@@ -101,10 +162,11 @@ class Matcher:
         order = sorted(range(len(self.words)), key=lambda i: (frequencies[i], self.words[i]))
         self.rank = np.empty(len(order), np.int64)
         self.rank[order] = np.arange(len(order))
-        self.sets, self.need, self.seq = [], [], []
+        self.sets, self.need, self.seq, self.block = [], [], [], []
         index: dict[int, list[tuple[int, int]]] = {}
         for t, template in enumerate(templates):
-            seq = [name[w.encode()] for w in template.text.split()]
+            seq = [name[w.encode()] for w in template.words]
+            self.block.append(template.block)
             ranked = sorted({int(self.rank[i]) for i in seq})
             need = max(1, math.ceil(template.threshold * len(ranked) - 1e-9))
             self.sets.append(frozenset(ranked))
@@ -119,21 +181,30 @@ class Matcher:
     def document(self, ids: np.ndarray) -> tuple[list[tuple[int, str]], dict[str, float]]:
         """(places of phrases, best containment of each label) in a document, given its words' vocabulary numbers."""
         seen = np.nonzero(ids >= 0)[0]
-        places, best, tried = set(), {}, set()
+        places, best, tried, looked = set(), {}, set(), set()
+        blocks: dict[tuple[int, int], tuple[np.ndarray, np.ndarray]] = {}  # by size and number: places and ranks of its words
+
+        def block_at(size: int, number: int):
+            if (size, number) not in blocks:
+                lo = number * size // 2
+                inside = seen[np.searchsorted(seen, lo) : np.searchsorted(seen, lo + size)]
+                blocks[size, number] = inside, np.unique(self.rank[ids[inside]])
+            return blocks[size, number]
+
         for p in seen[self.prefix[ids[seen]]].tolist():
             r = int(self.rank[ids[p]])
-            for block in {max(0, p // STRIDE - 1), p // STRIDE}:
-                lo = block * STRIDE
-                inside = seen[np.searchsorted(seen, lo) : np.searchsorted(seen, lo + BLOCK)]
-                held = np.unique(self.rank[ids[inside]])
-                j = int(np.searchsorted(held, r))
-                for t, place in self.index[r]:
-                    need, size = self.need[t], len(self.sets[t])
-                    if (block, t) in tried or len(held) < need:
+            for t, place in self.index[r]:
+                need, size, words = self.need[t], len(self.sets[t]), self.block[t]
+                half = p // (words // 2)
+                for number in {max(0, half - 1), half}:
+                    if (number, t) in tried or (number, t, r) in looked:
                         continue
-                    if len(self.sets[t].intersection(held[:j].tolist())) + 1 + min(size - place - 1, len(held) - j - 1) < need:
+                    looked.add((number, t, r))
+                    inside, held = block_at(words, number)
+                    j = int(np.searchsorted(held, r))
+                    if len(held) < need or len(self.sets[t].intersection(held[:j].tolist())) + 1 + min(size - place - 1, len(held) - j - 1) < need:
                         continue
-                    tried.add((block, t))
+                    tried.add((number, t))
                     overlap = len(self.sets[t].intersection(held.tolist()))
                     if overlap < need:
                         continue
@@ -154,7 +225,8 @@ SCHEMA = "doc_id long, n_words long, places array<struct<word:long,label:string>
 def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """(doc_id, n_words, places, labels): every place of a phrase, and each label with its best containment.
 
-    docs needs doc_id and text; a null text is an empty one, without words, places or labels; other columns are not read.
+    docs needs doc_id and text; a null text is an empty one, without words, places or labels. Repeated rows have equal
+    results, an empty table gives no row, texts are read whole, however long, and other columns are not read.
     """
     frequencies = word_frequencies(docs, templates)
 
@@ -178,7 +250,7 @@ def scan(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
                     labels[lo + k] = sorted(best.items())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n_words), pa.array(places, pa.list_(pa.struct([("word", pa.int64()), ("label", pa.string())]))), pa.array(labels, pa.map_(pa.string(), pa.float64()))], ["doc_id", "n_words", "places", "labels"])
 
-    return null_safe_text(docs, "doc_id").mapInArrow(run, SCHEMA)
+    return map_batches(null_safe_text(docs, "doc_id"), run, SCHEMA)
 
 
 def op2_license_scan(spark, sf_dir: str) -> DataFrame:

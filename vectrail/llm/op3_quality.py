@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import documents, null_safe_text, prefix_hash, row_chunks, runs, span_hash, table, text_buffers
+from vectrail.llm.common import documents, map_batches, null_safe_text, row_chunks, runs, table, text_buffers, word_hash
 
 #: At most this many labelled rows are fitted on: those with the smallest hash of their doc_id.
 FIT_ROWS = 12_000
@@ -48,7 +48,7 @@ def features(data: np.ndarray, cuts: np.ndarray, n_chars: np.ndarray):
     first = np.searchsorted(starts, cuts)
     words = np.diff(first)
     row = np.repeat(np.arange(n), words)
-    h = span_hash(prefix_hash(data), starts, ends)
+    h = word_hash(data, starts, ends)
     key, count = np.unique(row * WORD_BUCKETS + (h & np.uint64(WORD_BUCKETS - 1)).astype(np.int64), return_counts=True)
     wrow, value = key // WORD_BUCKETS, np.sqrt(count)
     value = value / np.sqrt(np.bincount(wrow, value**2, n))[wrow] if len(key) else value
@@ -62,7 +62,7 @@ def features(data: np.ndarray, cuts: np.ndarray, n_chars: np.ndarray):
     per = lambda a, b: a / np.maximum(b, 1)
     lstarts, lends = runs(data != 10, cuts)
     lrow = np.searchsorted(cuts, lstarts, "right") - 1
-    lh = span_hash(prefix_hash(data), lstarts, lends)
+    lh = word_hash(data, lstarts, lends)
     lorder = np.lexsort((lh, lrow))
     lagain = np.zeros(len(lh), bool)
     lagain[1:] = (lh[lorder][1:] == lh[lorder][:-1]) & (lrow[lorder][1:] == lrow[lorder][:-1])
@@ -169,7 +169,7 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array([f[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([v[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "quality", "f", "v"])
 
     # fit_rows bounds the broadcast side.
-    rows = _inputs(docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality").mapInArrow(run, "doc_id long, quality int, f binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
+    rows = map_batches(_inputs(docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality"), run, "doc_id long, quality int, f binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
     entries = [(np.frombuffer(f, np.uint16), np.frombuffer(v, np.float32)) for f, v in zip(rows["f"].to_pylist(), rows["v"].to_pylist(), strict=True)]
     return Machine().fit(entries, rows["quality"].to_numpy().astype(np.float64))
 
@@ -186,7 +186,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
                 out[lo : lo + n] = held.value.score(n, *entries)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out)], ["doc_id", "score"])
 
-    return plain.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
+    return map_batches(plain, run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= CUT).cast("int"))
 
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
@@ -205,7 +205,7 @@ def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
                 good[lo : lo + n] = held.value.score(n, *entries) >= CUT
             yield b.filter(pa.array(good))
 
-    return docs.mapInArrow(run, docs.schema)
+    return map_batches(docs, run, docs.schema)
 
 
 def op3_quality(spark, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import documents, null_safe_text, written
+from vectrail.llm.common import documents, map_batches, null_safe_text, written
 from vectrail.llm.tokens import encode_column
 
 MAX_LENGTH = 2048
@@ -32,7 +32,7 @@ def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
                 n[lo : lo + len(bounds) - 1] += np.diff(bounds)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n)], ["doc_id", "n_tokens"])
 
-    return null_safe_text(docs, "doc_id").mapInArrow(run, "doc_id long, n_tokens long")
+    return map_batches(null_safe_text(docs, "doc_id"), run, "doc_id long, n_tokens long")
 
 
 def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:

@@ -7,10 +7,12 @@ import os
 import numpy as np
 import pyarrow as pa
 
-from vectrail.llm.common import prefix_hash, row_chunks, span_hash, text_buffers
+from vectrail.llm.common import M0, eights, mix, row_chunks, text_buffers
 
-SLOTS_LOG2 = 22
-POOL = 1 << 24
+#: The memory of units: slots, bytes of the longest unit that is remembered, ids. About 40 MB a worker.
+SLOTS_LOG2, UNIT_BYTES, POOL = 19, 32, 1 << 22
+#: Units that are looked up at once.
+GROUP = 1 << 16
 _encoders: dict[str, UnitEncoder] = {}
 
 
@@ -34,8 +36,8 @@ class UnitEncoder:
     The tokenizer's own splitting rule ends a piece wherever these hold, whatever surrounds it: before a space that
     a visible character follows; between a letter and an ASCII character that is no letter; after a single line
     end before an ASCII letter. Texts are cut there, each new unit is encoded by the library once, and known units are
-    found by their 64-bit hash in a table of fixed size (a slot holds the last unit that came to it).
-    Texts that hold the string of a special token are encoded whole.
+    looked up by their own bytes in a table of fixed size (a slot holds the last unit that came to it; units of more than
+    UNIT_BYTES are not remembered). Texts that hold the string of a special token are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -49,7 +51,8 @@ class UnitEncoder:
         for token, i in vocab.items():
             self.width[i] = len(token)
         n = 1 << SLOTS_LOG2
-        self.keys = np.zeros(n, np.uint64)
+        self.keys = np.zeros((UNIT_BYTES // 8, n), np.uint64)
+        self.size = np.zeros(n, np.uint8)
         self.start = np.zeros(n, np.int32)
         self.count = np.zeros(n, np.int32)
         self.pool = np.zeros(POOL, np.uint32)
@@ -105,46 +108,72 @@ class UnitEncoder:
         cut[0], cut[n] = True, True
         edges = np.nonzero(cut)[0]
         starts, ends = edges[:-1], edges[1:]
-        h = span_hash(prefix_hash(data), starts, ends) | np.uint64(1)
+        window = eights(data)
+        ids, counts = [], []
+        for at in range(0, len(starts), GROUP):
+            part, count = self._look_up(data, window, starts[at : at + GROUP], ends[at : at + GROUP])
+            ids.append(part)
+            counts.append(count)
+        total = np.concatenate([[0], np.cumsum(np.concatenate(counts))])
+        return np.concatenate(ids), total[np.searchsorted(starts, cuts)]
+
+    def _look_up(self, data: np.ndarray, window: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ids of each unit) of units laid end to end."""
+        size = ends - starts
+        words = np.zeros((UNIT_BYTES // 8, len(starts)), np.uint64)
+        h = size.astype(np.uint64)
+        for j in range(UNIT_BYTES // 8):
+            rest = np.nonzero(size > 8 * j)[0]
+            left = size[rest] - 8 * j
+            x = window[starts[rest] + 8 * j].view(np.uint64).ravel()
+            short = left < 8
+            x[short] &= (np.uint64(1) << (left[short].astype(np.uint64) << np.uint64(3))) - np.uint64(1)
+            words[j, rest] = x
+            h[rest] = mix(h[rest] * M0 + x)
         slot = (h >> np.uint64(64 - SLOTS_LOG2)).astype(np.int64)
+        fits = size <= UNIT_BYTES
+        known = fits & (self.size[slot] == size) & (self.keys[:, slot] == words).all(axis=0)
         first, count = self.start[slot].astype(np.int64), self.count[slot].astype(np.int64)
-        missed = np.nonzero(self.keys[slot] != h)[0]
-        extra = np.zeros(0, np.uint32)
-        if len(missed):
-            _, where, back = np.unique(h[missed], return_index=True, return_inverse=True)
-            new = missed[where]
-            extra, offset, lengths = self._encode_units(data, starts[new], ends[new])
-            first[missed], count[missed] = POOL + offset[back], lengths[back]
-            if self.used + len(extra) > POOL:
-                self.keys[:] = 0
-                kept = self.pool.copy()  # units that this call has found already
-                self.used = 0
-            else:
-                kept = self.pool
-            if len(extra) <= POOL:
-                base = self.used
-                found_pool = kept
-                if kept is self.pool:
-                    self.pool[base : base + len(extra)] = extra
-                else:
-                    self.pool = np.zeros(POOL, np.uint32)
-                    self.pool[: len(extra)] = extra
-                self.used = base + len(extra)
-                self.keys[slot[new]] = h[new]
-                self.start[slot[new]] = base + offset
-                self.count[slot[new]] = lengths
-            else:
-                found_pool = kept
-        else:
-            found_pool = self.pool
-        total = np.cumsum(count)
-        index = np.arange(total[-1]) + np.repeat(first - (total - count), count)
-        known = index < POOL
+        missed = np.nonzero(~known)[0]
+        if not len(missed):
+            index = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+            return self.pool[index], count
+        # Each new unit once: short ones by their bytes and sizes, long ones by their bytes.
+        brief = missed[fits[missed]]
+        order = brief[np.lexsort((*words[:, brief], size[brief]))]
+        fresh = np.ones(len(order), bool)
+        fresh[1:] = (words[:, order[1:]] != words[:, order[:-1]]).any(axis=0) | (size[order[1:]] != size[order[:-1]])
+        number = np.empty(len(starts), np.int64)
+        number[order] = np.cumsum(fresh) - 1
+        new = order[fresh].tolist()
+        stored = len(new)
+        seen: dict[bytes, int] = {}
+        for i in missed[~fits[missed]].tolist():
+            k = seen.setdefault(data[starts[i] : ends[i]].tobytes(), len(new))
+            if k == len(new):
+                new.append(i)
+            number[i] = k
+        new = np.array(new, np.int64)
+        extra, offset, lengths = self._encode_units(data, starts[new], ends[new])
+        first[missed], count[missed] = POOL + offset[number[missed]], lengths[number[missed]]
+        index = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
+        held = index < POOL
         ids = np.empty(len(index), np.uint32)
-        ids[known] = found_pool[index[known]]
-        ids[~known] = extra[index[~known] - POOL]
-        unit_of = np.searchsorted(starts, cuts)
-        return ids, np.concatenate([[0], total])[unit_of]
+        ids[held] = self.pool[index[held]]
+        ids[~held] = extra[index[~held] - POOL]
+        if stored and len(extra) <= POOL:
+            if self.used + len(extra) > POOL:
+                self.size[:], self.used = 0, 0
+            self.pool[self.used : self.used + len(extra)] = extra
+            keep, at = new[:stored], slot[new[:stored]]
+            # Of units that come to one slot, the last in this order is whole in all columns.
+            _, last = np.unique(at[::-1], return_index=True)
+            last = stored - 1 - last
+            keep, at = keep[last], at[last]
+            self.keys[:, at], self.size[at] = words[:, keep], size[keep]
+            self.start[at], self.count[at] = self.used + offset[:stored][last], lengths[:stored][last]
+            self.used += len(extra)
+        return ids, count
 
 
 def encode_column(column: pa.Array, path: str | None = None):
