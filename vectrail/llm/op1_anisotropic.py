@@ -3,6 +3,8 @@
 Vectors are coded with 4 bits for each pair of components. Codes are chosen to minimise a loss in which the part of the
 residual that is parallel to the vector weighs more than the rest, since it is what changes large inner products.
 Queries scan the codes by table lookups, two codes a byte, and the best rows are scored again on the original vectors.
+Codes are dealt into shares that a task holds whole, and queries stream past them: what is moved is the codes, a few times at
+most, and the queries, once for each share.
 
 Rows beyond the KEEP best codes are left out only if that is safe: where the last of a query's best exact scores is not
 clear of the cut by the spread of the coding errors (near copies of one vector have nearly one code), the query meets
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import table, written
+from vectrail.llm.common import map_batches, table, written
 
 #: Codebooks are fitted on at most this many vectors, those with the smallest hash; every vector is coded.
 FIT_ROWS = 20_000
@@ -29,7 +31,8 @@ THRESHOLD = 0.2
 KEEP = 200
 #: A query is settled if its k-th exact score is so many standard deviations of the coding error above the cut.
 CLEAR = 2.5
-QUERY_ROWS, CODE_ROWS, SPLITS = 256, 8192, 2
+#: Queries of a block; rows that are scanned at once; bytes of a share of codes or vectors that a task holds.
+QUERY_ROWS, SCAN_ROWS, SHARE_BYTES = 256, 1 << 14, 32 << 20
 
 
 class Quantiser:
@@ -120,7 +123,12 @@ def matrix(column: pa.Array) -> np.ndarray:
 
 
 def search(vectors: DataFrame, is_query, k: int = 20, keep: int = KEEP, fit_rows: int = FIT_ROWS) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k nearest found of each row that is_query picks, itself left out."""
+    """(query_id, rank, vec_id, score): the k nearest found of each row that is_query picks, itself left out.
+
+    Ties go to the smaller vec_id, between copies of a vector too. Rows that usable() leaves out are neither queries nor
+    candidates; vectors may have any number of components; columns besides vec_id and embedding are only read by is_query.
+    An empty table gives no row.
+    """
     spark = vectors.sparkSession
     v = usable(vectors)
     w = Window.partitionBy("vec").orderBy("vec_id")
@@ -136,100 +144,91 @@ def search(vectors: DataFrame, is_query, k: int = 20, keep: int = KEEP, fit_rows
 
     def code(batches):
         """Blocks of ids and codes."""
-        ids, codes, n = [], [], 0
-
-        def flush():
-            i = np.concatenate(ids)
-            return pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([np.concatenate(codes).tobytes()], pa.binary()), pa.array([int(i[0]) % SPLITS], pa.int32())], ["ids", "data", "split"])
-
         for b in batches:
-            for lo in range(0, b.num_rows, CODE_ROWS):
-                part = b.slice(lo, CODE_ROWS)
-                if n + part.num_rows > CODE_ROWS and n:
-                    yield flush()
-                    ids, codes, n = [], [], 0
-                ids.append(part.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-                codes.append(held.value.encode(matrix(part.column(1))))
-                n += part.num_rows
-        if n:
-            yield flush()
-
-    def block(batches):
-        for b in batches:
-            for lo in range(0, b.num_rows, QUERY_ROWS):
-                part = b.slice(lo, QUERY_ROWS)
-                yield pa.RecordBatch.from_arrays([pa.array([part.column(0).to_numpy(zero_copy_only=False).astype(np.int64).tobytes()], pa.binary()), pa.array([matrix(part.column(1)).tobytes()], pa.binary())], ["ids", "data"])
+            for lo in range(0, b.num_rows, SCAN_ROWS):
+                part = b.slice(lo, SCAN_ROWS)
+                yield packed(part, held.value.encode(matrix(part.column(1))))
 
     def whole(batches):
         """Blocks of ids and vectors."""
         for b in batches:
-            for lo in range(0, b.num_rows, CODE_ROWS):
-                part = b.slice(lo, CODE_ROWS)
-                i = part.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([i.tobytes()], pa.binary()), pa.array([matrix(part.column(1)).tobytes()], pa.binary()), pa.array([int(i[0]) % SPLITS], pa.int32())], ["ids", "data", "split"])
+            for lo in range(0, b.num_rows, QUERY_ROWS):
+                part = b.slice(lo, QUERY_ROWS)
+                yield packed(part, matrix(part.column(1)))
+
+    def packed(rows, data):
+        ids = rows.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array([ids.tobytes()], pa.binary()), pa.array([data.tobytes()], pa.binary())], ["ids", "data"])
 
     def scan(coded):
-        """Each query's best rows in a split, by codes or by vectors, and the least score kept if rows were left out."""
+        """Each query's best rows in a share, by codes or by vectors, and the least score kept if rows were left out."""
+
+        def best_of(ids, data, qids, queries):
+            best_s, best_i = np.full((len(qids), keep), -np.inf), np.full((len(qids), keep), -1, np.int64)
+            tables = held.value.tables(queries) if coded else None
+            for lo in range(0, len(ids), SCAN_ROWS):
+                some = ids[lo : lo + SCAN_ROWS]
+                block = data[:, lo : lo + SCAN_ROWS] if coded else data[lo : lo + SCAN_ROWS]
+                dots = None if coded else queries @ block.T
+                for r in range(len(qids)):
+                    if coded:
+                        t = tables[r]
+                        s = t[0][block[0]]
+                        for j in range(1, len(block)):
+                            s += t[j][block[j]]
+                    else:
+                        s = dots[r]
+                    near = np.arange(len(s))
+                    if len(s) > keep:
+                        least = np.partition(s, len(s) - keep)[len(s) - keep]
+                        near = np.nonzero(s >= least - 1e-9 * (1 + abs(least)))[0]
+                    s = np.concatenate([best_s[r], s[near]])
+                    i = np.concatenate([best_i[r], some[near]])
+                    top = np.lexsort((i, -s))[:keep]
+                    best_s[r], best_i[r] = s[top], i[top]
+            ok = best_i >= 0
+            cut = best_s[:, -1] if coded and len(ids) > keep else np.full(len(qids), -np.inf)
+            n = ok.sum(1)
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_i[ok]), pa.array(best_s[ok]), pa.array(np.repeat(cut, n))], ["asked", "rep", "approx", "cut"])
 
         def run(batches):
-            qids = side_q = best_s = best_i = seen = None
-
-            def done():
-                ok = best_i >= 0
-                cut = np.where(seen > keep, best_s[:, -1], -np.inf) if coded else np.full(len(qids), -np.inf)
-                n = ok.sum(1)
-                return pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(best_i[ok]), pa.array(best_s[ok]), pa.array(np.repeat(cut, n))], ["asked", "rep", "approx", "cut"])
-
+            key, blocks, share = None, [], None
             for b in batches:
-                for side, ids, data in zip(b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4).to_pylist(), strict=True):
+                for part, group, side, ids, data in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
+                    if (part, group) != key:
+                        key, blocks, share = (part, group), [], None
                     ids = np.frombuffer(ids, np.int64)
+                    rows = np.frombuffer(data, np.uint8 if coded and side == 0 else np.float64).reshape(len(ids), -1)
                     if side == 0:
-                        if qids is not None:
-                            yield done()
-                        qids, seen = ids, 0
-                        side_q = np.frombuffer(data, np.float64).reshape(len(ids), -1)
-                        side_q = held.value.tables(side_q) if coded else side_q
-                        best_s, best_i = np.full((len(ids), keep), -np.inf), np.full((len(ids), keep), -1, np.int64)
+                        blocks.append((ids, rows))
                         continue
-                    seen += len(ids)
-                    if coded:
-                        block = np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(len(ids), -1).T)
-                    else:
-                        dots = side_q @ np.frombuffer(data, np.float64).reshape(len(ids), -1).T
-                    for r in range(len(qids)):
-                        if coded:
-                            t = side_q[r]
-                            s = t[0][block[0]]
-                            for j in range(1, len(block)):
-                                s += t[j][block[j]]
-                        else:
-                            s = dots[r]
-                        near = np.arange(len(s))
-                        if len(s) > keep:
-                            least = np.partition(s, len(s) - keep)[len(s) - keep]
-                            near = np.nonzero(s >= least - 1e-9 * (1 + abs(least)))[0]
-                        s = np.concatenate([best_s[r], s[near]])
-                        i = np.concatenate([best_i[r], ids[near]])
-                        top = np.lexsort((i, -s))[:keep]
-                        best_s[r], best_i[r] = s[top], i[top]
-            if qids is not None:
-                yield done()
+                    if share is None and blocks:
+                        together = np.concatenate([x[1] for x in blocks])
+                        share = np.concatenate([x[0] for x in blocks]), np.ascontiguousarray(together.T) if coded else together
+                        blocks = []
+                    if share is not None:
+                        yield best_of(*share, ids, rows)
 
         return run
 
+    n_reps, dim = reps.count(), len(reps.first()["vec"])
+    parallel = spark.sparkContext.defaultParallelism
     order = [F.desc("score"), F.asc("vec_id")]
     score = F.aggregate(F.zip_with("q", "vec", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
 
     def best(asked_reps: DataFrame, index: DataFrame, coded: bool) -> DataFrame:
         """(asked, vec_id, score, r, settled) of the k + 1 best rows of each query."""
-        # Query blocks, numbered and written, so that a lost task finds the same ones again.
-        q = reps.join(asked_reps, "rep").select("rep", "vec").coalesce(8).mapInArrow(block, "ids binary, data binary")
-        q = written(q.select(F.monotonically_increasing_id().alias("qb"), "ids", "data"), "queries")
-        left = q.select("qb", F.explode(F.sequence(F.lit(0), F.lit(SPLITS - 1))).alias("split"), F.lit(0).alias("side"), "ids", "data")
-        # The query set meets all codes (or vectors), block by block: 16 bytes (or a vector) and query block, no pairs of rows.
-        right = index.join(q.select("qb"), F.lit(True), "inner").select("qb", "split", F.lit(1).alias("side"), "ids", "data")
-        dealt = left.unionByName(right).repartition("qb", "split").sortWithinPartitions("qb", "split", "side")
-        near = dealt.mapInArrow(scan(coded), "asked long, rep long, approx double, cut double")
+        row_bytes = 8 + (-(-dim // 4) if coded else 8 * dim)
+        shares = max(1, -(-n_reps * row_bytes // SHARE_BYTES))
+        groups = -(-parallel // shares)  # of queries, so that all cores have work
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        dealt = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+        q = map_batches(reps.join(asked_reps, "rep").select("rep", "vec"), whole, "ids binary, data binary")
+        left = index.select(dealt(shares).alias("part"), every(groups).alias("group"), F.lit(0).alias("side"), "ids", "data")
+        # The query set meets all codes (or vectors) in blocks: no pairs of rows.
+        right = q.select(every(shares).alias("part"), dealt(groups).alias("group"), F.lit(1).alias("side"), "ids", "data")
+        both = left.unionByName(right).repartition("part", "group").sortWithinPartitions("part", "group", "side")
+        near = map_batches(both, scan(coded), "asked long, rep long, approx double, cut double")
         exact = near.join(copies.select("rep", "vec_id", "vec"), "rep").join(reps.select(F.col("rep").alias("asked"), F.col("vec").alias("q")), "asked").select("asked", "rep", "vec_id", "approx", "cut", score.alias("score"))
         of_query = Window.partitionBy("asked")
         error = F.when(F.col("rep") == F.col("vec_id"), F.col("score") - F.col("approx"))
@@ -239,12 +238,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, keep: int = KEEP, fit_rows
         settled = (F.col("bound") == F.lit(float("-inf"))) | F.coalesce(F.col("least") > F.col("bound"), F.lit(False))
         return written(top.where(F.col("r") <= k + 1).select("asked", "vec_id", "score", settled.alias("settled")), "best")
 
-    index = written(reps.select("rep", "vec").mapInArrow(code, "ids binary, data binary, split int"), "codes")
+    index = map_batches(reps.select("rep", "vec"), code, "ids binary, data binary")
     top = best(asked.select("rep").distinct(), index, True)
     crowded = top.where("NOT settled").select(F.col("asked").alias("rep")).distinct()
     if crowded.limit(1).count():
-        vectors_index = reps.select("rep", "vec").mapInArrow(whole, "ids binary, data binary, split int")
-        top = top.where("settled").unionByName(best(crowded, vectors_index, False))
+        top = top.where("settled").unionByName(best(crowded, map_batches(reps.select("rep", "vec"), whole, "ids binary, data binary"), False))
     rows = asked.join(top, asked["rep"] == top["asked"]).where("query_id <> vec_id")
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
