@@ -1,14 +1,16 @@
 """Benchmark decontamination by spaced seeds, with DataFrame functions only.
 
 A mask says which words of a window count. Windows of documents and of benchmark items are hashed under each mask and
-joined; a hit names an alignment (document, item, offset). Along it the words are compared one by one, and the
-document is contaminated if some window of WINDOW item words (the whole item, if shorter) has at least the share SHARE
-of its words in the same places. Words between the counted ones may be replaced without losing the hit.
+joined; a hit names an alignment (document, item, offset). The hits of a document and an item become one row with their
+different offsets, so a text of one word repeated costs no more rows than another. Along each offset the words are compared
+one by one, and the document is contaminated if some window of WINDOW item words (the whole item, if shorter) has at
+least the share SHARE of its words in the same places. Words between the counted ones may be replaced without losing the hit.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -24,7 +26,7 @@ SHARE = 0.75
 #: Items with fewer words have masks of their own length: short_masks.
 SHORT = 8
 #: Seeds or documents up to these numbers are broadcast (16 bytes each); beyond them both sides are shuffled.
-BROADCAST_SEEDS, BROADCAST_DOCS = 1_000_000, 1_000_000
+BROADCAST_SEEDS, BROADCAST_DOCS = 500_000, 500_000
 
 
 def words_of(text: str = "text") -> Column:
@@ -74,10 +76,20 @@ def document_seeds(docs: DataFrame, masks: tuple[str, ...]) -> DataFrame:
     return arrays.select("key", F.posexplode("s").alias("pos", "seed"))
 
 
+def best_window(offset: Column) -> Column:
+    """The most words that a window of the item iw has in the same places of the document dw, moved by the offset."""
+    same = F.transform("iw", lambda w, j: F.when(F.get("dw", offset + j) == w, 1).otherwise(0))
+    compared = F.least(F.size("iw"), F.lit(WINDOW))
+    of_window = lambda i: F.aggregate(F.slice(same, i, compared), F.lit(0), lambda n, x: n + x)
+    return F.array_max(F.transform(F.sequence(F.lit(1), F.size("iw") - compared + 1), of_window))
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS) -> DataFrame:
-    """(key, doc_id, item_id, offset, matched, compared): alignments whose best window reaches SHARE.
+    """(key, doc_id, item_id, offset, matched, compared): of each document and item the best alignment, if its best window
+    reaches SHARE.
 
-    Every such alignment is found. Items without words and null ids take no part; documents without words have no leaks.
+    Every such pair is found. Items without words and null ids take no part; documents without words have no leaks. Of
+    repeated rows one is returned, whose key names them all.
     """
     items = benchmark.where("item_id IS NOT NULL").select("item_id", words_of().alias("iw")).where(F.size("iw") > 0)
     items = written(items.withColumn("h", F.transform("iw", lambda w: F.xxhash64(w))), "items")
@@ -89,30 +101,35 @@ def leaks(docs: DataFrame, benchmark: DataFrame, masks: tuple[str, ...] = MASKS)
     more = sorted({m for ms in short.values() for m in ms} - set(masks))
     few = small(of_items, BROADCAST_SEEDS)
     hits = document_seeds(docs, (*masks, *more)).join(F.broadcast(of_items) if few else of_items, "seed")
-    hits = written(hits.select("key", "item_id", (F.col("pos") - F.col("ipos")).alias("offset")).distinct(), "hits")
+    # A pair's offsets are no more than the document's and the item's words.
+    hits = hits.groupBy("key", "item_id").agg(F.sort_array(F.collect_set(F.col("pos") - F.col("ipos"))).alias("offsets"))
+    hits = written(hits, "hits")
     keys = hits.select("key").distinct()
     rows = docs.select("doc_id", "text", row_key().alias("key"))
     rows = rows.join(F.broadcast(keys) if small(keys, BROADCAST_DOCS) else keys, "key", "left_semi").dropDuplicates(["key"])
     rows = rows.select("key", "doc_id", words_of().alias("dw"))
     aligned = rows.join(hits, "key").join(items.select("item_id", "iw"), "item_id")
-    same = F.transform("iw", lambda w, j: F.when(F.get("dw", F.col("offset") + j) == w, 1).otherwise(0))
-    aligned = aligned.select("key", "doc_id", "item_id", "offset", same.alias("same"), F.least(F.size("iw"), F.lit(WINDOW)).alias("compared"))
-    windows = F.transform(F.sequence(F.lit(1), F.size("same") - F.col("compared") + 1), lambda i: F.aggregate(F.slice("same", i, F.col("compared")), F.lit(0), lambda s, x: s + x))
-    return aligned.select("key", "doc_id", "item_id", "offset", F.array_max(windows).alias("matched"), "compared").where(F.col("matched") >= F.ceil(F.col("compared") * SHARE))
+    best = F.array_max(F.transform("offsets", lambda o: F.struct(best_window(o).alias("matched"), (-o).alias("before"))))
+    aligned = aligned.select("key", "doc_id", "item_id", F.least(F.size("iw"), F.lit(WINDOW)).alias("compared"), best.alias("best"))
+    return aligned.select("key", "doc_id", "item_id", (-F.col("best.before")).alias("offset"), F.col("best.matched").alias("matched"), "compared").where(F.col("matched") >= F.ceil(F.col("compared") * SHARE))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """One row for each contaminated row of docs: doc_id, its items, their number and the best share of matched words."""
+    """One row for each contaminated row of docs: doc_id, its items, their number and the best share of matched words.
+
+    Repeated rows have equal results, each its own; null ids and texts, empty tables and columns of any other name are allowed.
+    """
     found = leaks(docs, benchmark).groupBy("key").agg(F.sort_array(F.collect_set("item_id")).alias("items"), F.round(F.max(F.col("matched") / F.col("compared")), 6).alias("best"))
     rows = docs.select("doc_id", row_key().alias("key"))
     return rows.join(found, "key").select("doc_id", F.size("items").cast("long").alias("n_items"), F.array_join("items", ",").alias("item_ids"), "best")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without contaminated rows, columns as they are."""
-    bad = written(leaks(docs, benchmark).select(F.col("key").alias("_leak_key")).distinct(), "leaks")
+    """docs without contaminated rows, columns as they are, whatever their names; rows without text stay."""
+    name = f"key_{uuid.uuid4().hex}"
+    bad = written(leaks(docs, benchmark).select(F.col("key").alias(name)).distinct(), "leaks")
     bad = F.broadcast(bad) if small(bad, BROADCAST_DOCS) else bad
-    return docs.join(bad, row_key() == F.col("_leak_key"), "left_anti")
+    return docs.join(bad, row_key() == F.col(name), "left_anti")
 
 
 def op10_decontaminate(spark, sf_dir: str) -> DataFrame:
