@@ -257,12 +257,6 @@ def kmeans_spherical_2(spark, d):
     return centres(spark, kmeans(dense_table(spark, d), LISTS, Metric.COSINE, 2, init=unit(seeds(spark, d)))[0])
 
 
-@query("kmeans_plus_plus")
-def kmeans_plus_plus(spark, d):
-    """Lists by k-means++ and Lloyd: no SQL, since seeds are drawn at random."""
-    return kmeans(dense_table(spark, d), LISTS, Metric.L2)[1].select("id", "list_id")
-
-
 def fixed_ivf(spark, d, n_probe: int, metric: Metric = Metric.L2) -> IVFIndex:
     return IVFIndex(metric, LISTS, n_probe).use_centroids(seeds(spark, d)).add(dense_table(spark, d))
 

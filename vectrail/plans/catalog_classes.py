@@ -198,8 +198,8 @@ def ivf_padded(spark, d):
     return rounded(IVFIndex(Metric.L2, LISTS, 1).use_centroids(seeds(spark, d)).add(v).search(as_queries(v), 200, pad=True))
 
 
-@query("kmeans_seeded", f"SELECT count(*) AS n, {LISTS}::BIGINT AS lists, 0::BIGINT AS misplaced, true AS cheaper FROM embeddings")
-def kmeans_seeded(spark, d):
+@query("kmeans_plus_plus", f"SELECT count(*) AS n, {LISTS}::BIGINT AS lists, 0::BIGINT AS misplaced, true AS cheaper FROM embeddings")
+def kmeans_plus_plus(spark, d):
     """k-means++ and Lloyd: every row has a list, no list is empty, each row's list is the nearest, and the total cost is no more
     than that under the seeds of fixed_ivf."""
     v = dense_table(spark, d)
