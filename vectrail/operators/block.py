@@ -17,6 +17,8 @@ from pyspark.sql import functions as F
 
 from vectrail.types import DENSE, SPARSE, DataType, Metric
 
+#: An id that no row has.
+NO_ID = np.iinfo(np.int64).max
 #: Queries and corpus rows of a tile of distances (8 MB), and bytes of a group of queries that a task holds.
 TILE_QUERIES, TILE_ROWS, GROUP_BYTES = 512, 2048, 64 << 20
 #: Bytes of the corpus that a task streams past a group of queries, about.
@@ -108,39 +110,80 @@ def _error(q, c, dtype: DataType, metric: Metric) -> np.ndarray:
     return unit * (np.einsum("ij,ij->i", q, q) + np.einsum("ij,ij->i", c, c).max())
 
 
+class TopK:
+    """The k nearest corpus rows of each query among the blocks added so far, ties to the smaller id.
+
+    Distances are taken by matrix products, tile by tile. Rows that may be among the k nearest within the error of these,
+    given what has been found before, are scored directly, so that the result does not depend on tiles or on their order.
+    """
+
+    def __init__(self, q, k: int, dtype: DataType, metric: Metric):
+        self.q, self.k, self.dtype, self.metric = q, max(k, 0), dtype, metric
+        n = _rows(q, dtype)
+        self.dist = np.full((n, self.k), np.inf)
+        self.ids = np.full((n, self.k), NO_ID)
+
+    def add(self, c, ids: np.ndarray, rows: np.ndarray | None = None) -> None:
+        """Takes a block; rows names the queries that meet it, all of them if it is left out."""
+        if not self.k:
+            return
+        queries = np.arange(len(self.dist)) if rows is None else rows
+        for at in range(0, len(queries), TILE_QUERIES):
+            some = queries[at : at + TILE_QUERIES]
+            q = self.q[some] if rows is not None else _slice(self.q, at, at + TILE_QUERIES, self.dtype)
+            for lo in range(0, _rows(c, self.dtype), TILE_ROWS):
+                part = _slice(c, lo, lo + TILE_ROWS, self.dtype)
+                qi, ci, d = self._near(q, part, self.dist[some, -1])
+                if len(qi):
+                    self._merge(some, qi, ids[lo : lo + TILE_ROWS][ci], d)
+
+    def _near(self, q, c, found: np.ndarray):
+        """(query, row, distance) of the rows of a tile that may be among the k nearest; found: the k-th distances so far."""
+        near, far = q, c
+        if self.dtype in DENSE and self.metric is Metric.L2 and len(c):
+            # Differences do not change, but the norms, and with them the rounding error, do.
+            middle = c.mean(axis=0)
+            near, far = q - middle, c - middle
+        coarse = _distances(near, far, self.dtype, self.metric)
+        if not coarse.size:
+            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        slack = 2 * _error(near, far, self.dtype, self.metric)
+        limit = found**2 if self.metric is Metric.L2 else found
+        mask = coarse <= (limit + slack + 1e-12 * np.abs(np.where(np.isinf(limit), 0.0, limit)))[:, None]
+        k = min(self.k, coarse.shape[1])
+        if np.count_nonzero(mask) > 2 * k * len(coarse):  # not many rows to compare with as yet
+            kth = np.partition(coarse, k - 1, axis=1)[:, k - 1]
+            mask &= coarse <= (kth + slack + 1e-12 * np.abs(kth))[:, None]
+        qi, ci = np.nonzero(mask)
+        return qi, ci, _exact(q, c, qi, ci, self.dtype, self.metric, coarse[qi, ci])
+
+    def _merge(self, some: np.ndarray, qi: np.ndarray, ids: np.ndarray, dist: np.ndarray) -> None:
+        which, slot = np.unique(qi, return_inverse=True)
+        rows = some[which]
+        slot = np.concatenate([np.repeat(np.arange(len(rows)), self.k), slot])
+        dist = np.concatenate([self.dist[rows].ravel(), dist])
+        ids = np.concatenate([self.ids[rows].ravel(), ids])
+        order = np.lexsort((ids, dist, slot))
+        order = order[np.arange(len(order)) - np.searchsorted(slot[order], slot[order]) < self.k]
+        self.dist[rows], self.ids[rows] = dist[order].reshape(-1, self.k), ids[order].reshape(-1, self.k)
+
+    def result(self):
+        """(query index, corpus id, distance) of what was found, queries in order."""
+        qi, place = np.nonzero(self.ids != NO_ID)
+        return qi, self.ids[qi, place], self.dist[qi, place]
+
+    def batch(self, query_ids: np.ndarray):
+        """The result as a batch of RESULT; none if it is empty."""
+        qi, ids, dist = self.result()
+        if len(qi):
+            yield pa.RecordBatch.from_arrays([pa.array(query_ids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
+
+
 def block_top_k(q, c, ids: np.ndarray, k: int, dtype: DataType, metric: Metric):
     """(query index, corpus id, distance) of each query's k nearest in a block, ties to the smaller id."""
-    found = [tuple(np.zeros(0, t) for t in (np.int64, np.int64, np.float64))]
-    for lo in range(0, _rows(c, dtype), TILE_ROWS):
-        part = _slice(c, lo, lo + TILE_ROWS, dtype)
-        for at in range(0, _rows(q, dtype), TILE_QUERIES):
-            qi, i, d = _tile_top_k(_slice(q, at, at + TILE_QUERIES, dtype), part, ids[lo : lo + TILE_ROWS], k, dtype, metric)
-            found.append((qi + at, i, d))
-    return keep_best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-
-
-def _tile_top_k(q, c, ids: np.ndarray, k: int, dtype: DataType, metric: Metric):
-    """The same for one tile: by matrix products first, then all rows that these leave within their error are scored directly."""
-    near, far = q, c
-    if dtype in DENSE and metric is Metric.L2 and len(c):
-        # Differences do not change, but the norms, and with them the rounding error, do.
-        middle = c.mean(axis=0)
-        near, far = q - middle, c - middle
-    coarse = _distances(near, far, dtype, metric)
-    if not coarse.size or k <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-    kth = np.partition(coarse, min(k, coarse.shape[1]) - 1, axis=1)[:, min(k, coarse.shape[1]) - 1]
-    slack = 2 * _error(near, far, dtype, metric) + 1e-12 * np.abs(kth)
-    qi, ci = np.nonzero(coarse <= (kth + slack)[:, None])
-    return keep_best(qi, ids[ci], _exact(q, c, qi, ci, dtype, metric, coarse[qi, ci]), k)
-
-
-def keep_best(qi, ids, dist, k: int):
-    order = np.lexsort((ids, dist, qi))
-    qi, ids, dist = qi[order], ids[order], dist[order]
-    first = np.searchsorted(qi, qi)
-    keep = np.arange(len(qi)) - first < k
-    return qi[keep], ids[keep], dist[keep]
+    best = TopK(q, k, dtype, metric)
+    best.add(c, ids)
+    return best.result()
 
 
 RESULT = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
@@ -208,32 +251,25 @@ def block_knn(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, me
     both = left.unionByName(right).repartition("qb", "part").sortWithinPartitions("qb", "part", "side")
 
     def search(batches):
-        key, held, qids, qm, best = None, [], None, None, None
-
-        def done():
-            if best is None or not len(best[0]):
-                return
-            qi, ids, dist = best
-            yield pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
-
+        key, held, qids, best = None, [], None, None
         for b in batches:
             for qb, part, side, block in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3), strict=True):
                 if key != (qb, part):
-                    yield from done()
-                    key, held, qm = (qb, part), [], None
-                    best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+                    if best is not None:
+                        yield from best.batch(qids)
+                    key, held, best = (qb, part), [], None
                 ids, m = pickle.loads(block.as_buffer())
                 if side == 0:
                     held.append((ids, m))
                     continue
-                if qm is None:
+                if best is None:
                     if not held:  # no query has come to this group
                         continue
-                    qids, qm = np.concatenate([h[0] for h in held]), _joined([h[1] for h in held], dtype)
-                    held = [held[0]]
-                new = block_top_k(qm, m, ids, k, dtype, metric)
-                best = keep_best(*(np.concatenate(x) for x in zip(best, new, strict=True)), k)
-        yield from done()
+                    qids = np.concatenate([h[0] for h in held])
+                    best, held = TopK(_joined([h[1] for h in held], dtype), k, dtype, metric), []
+                best.add(m, ids)
+        if best is not None:
+            yield from best.batch(qids)
 
     return both.mapInArrow(search, DDL)
 
@@ -249,13 +285,10 @@ def block_knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dtype: Da
 
     def search(parts):
         qids, qm = held.value
-        best = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        best = TopK(qm, k, dtype, metric)
         for b in parts:
-            if not b.num_rows:
-                continue
-            new = block_top_k(qm, _payload(b.column(1), dtype), b.column(0).to_numpy(zero_copy_only=False), k, dtype, metric)
-            best = keep_best(*(np.concatenate(x) for x in zip(best, new, strict=True)), k)
-        qi, ids, dist = best
-        yield pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
+            if b.num_rows:
+                best.add(_payload(b.column(1), dtype), b.column(0).to_numpy(zero_copy_only=False))
+        yield from best.batch(qids)
 
     return corpus.select("id", "vec").mapInArrow(search, DDL)

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.operators.block import DDL, GROUP_BYTES, RESULT, SHARE_BYTES, _row_bytes, block_top_k, keep_best
+from vectrail.operators.block import DDL, GROUP_BYTES, SHARE_BYTES, TopK, _row_bytes
 from vectrail.operators.kmeans import assign, centroids_frame, kmeans, matrix, rank_distances, unit
 from vectrail.operators.knn import check_dims, top_k
 from vectrail.plans.planner import BROADCAST_ROWS, at_most
@@ -31,34 +31,6 @@ def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, metric: Metri
     return queries.select("query_id", "vec").mapInArrow(run, f"query_id long, vec {queries.schema['vec'].dataType.simpleString()}, list_id int")
 
 
-def _best_of_lists(qids: np.ndarray, q: np.ndarray, probed: np.ndarray, k: int, metric: Metric):
-    """A function that takes (ids, vectors, lists) of corpus rows, and one that gives each query's k best so far.
-
-    probed has a row for each query and a column for each list that may come.
-    """
-    best = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-
-    def take(ids: np.ndarray, m: np.ndarray, lists: np.ndarray) -> None:
-        nonlocal best
-        order = np.argsort(lists, kind="stable")
-        edge = np.append(np.nonzero(np.diff(lists[order], prepend=-1))[0], len(order))
-        found = [best]
-        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            rows = order[a:b]
-            who = np.nonzero(probed[:, lists[rows[0]]])[0]
-            if len(who):
-                qi, i, d = block_top_k(q[who], m[rows], ids[rows], k, DataType.DENSE_FLOAT, metric)
-                found.append((who[qi], i, d))
-        best = keep_best(*(np.concatenate(x) for x in zip(*found, strict=True)), k)
-
-    def done():
-        qi, ids, dist = best
-        if len(qi):
-            yield pa.RecordBatch.from_arrays([pa.array(qids[qi], pa.int64()), pa.array(ids, pa.int64()), pa.array(dist, pa.float64())], schema=RESULT)
-
-    return take, done
-
-
 def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric, n_lists: int) -> DataFrame:
     """Candidates (query_id, id, distance) of queries whose number the caller has checked: they travel with the tasks, the
     lists stay where they are, and rows of lists that no query probes are not looked at."""
@@ -72,11 +44,20 @@ def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric
     held = lists.sparkSession.sparkContext.broadcast((qids, q, probed))
 
     def run(batches):
-        take, done = _best_of_lists(*held.value, k, metric)
+        qids, q, probed = held.value
+        best = TopK(q, k, DataType.DENSE_FLOAT, metric)
         for b in batches:
-            if b.num_rows:
-                take(b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy())
-        yield from done()
+            if not b.num_rows:
+                continue
+            ids, m, lists = b.column(0).to_numpy(), matrix(b.column(1)), b.column(2).to_numpy()
+            order = np.argsort(lists, kind="stable")
+            edge = np.append(np.nonzero(np.diff(lists[order], prepend=-1))[0], len(order))
+            for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+                rows = order[x:y]
+                who = np.nonzero(probed[:, lists[rows[0]]])[0]
+                if len(who):
+                    best.add(m[rows], ids[rows], who)
+        yield from best.batch(qids)
 
     asked = np.unique(got["list_id"].to_numpy()).tolist()
     return lists.where(F.col("list_id").isin(asked) if len(asked) < n_lists else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
@@ -96,7 +77,7 @@ def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric) ->
     dealt = left.unionByName(right).repartition("list_id", "qb", "part").sortWithinPartitions("list_id", "qb", "part", "side")
 
     def run(batches):
-        key, held, take, done = None, [], None, lambda: ()
+        key, held, qids, best = None, [], None, None
         for b in batches:
             if not b.num_rows:
                 continue
@@ -106,16 +87,18 @@ def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric) ->
                 part, now, side = b.slice(lo, hi - lo), tuple(names[lo, :3]), names[lo, 3]
                 ids, m = part.column(4).to_numpy(), matrix(part.column(5))
                 if now != key:
-                    yield from done()
-                    key, held, take, done = now, [], None, lambda: ()
+                    if best is not None:
+                        yield from best.batch(qids)
+                    key, held, best = now, [], None
                 if side == 0:
                     held.append((ids, m))
-                elif held:
-                    if take is None:
-                        q = np.concatenate([h[1] for h in held])
-                        take, done = _best_of_lists(np.concatenate([h[0] for h in held]), q, np.ones((len(q), 1), bool), k, metric)
-                    take(ids, m, np.zeros(len(ids), np.int64))
-        yield from done()
+                elif held or best is not None:
+                    if best is None:
+                        qids = np.concatenate([h[0] for h in held])
+                        best, held = TopK(np.concatenate([h[1] for h in held]), k, DataType.DENSE_FLOAT, metric), []
+                    best.add(m, ids)
+        if best is not None:
+            yield from best.batch(qids)
 
     return dealt.mapInArrow(run, DDL)
 
