@@ -52,6 +52,8 @@ PARTS, PART_MOST = 8, 255
 NEAREST = 4
 #: Rows to drop are broadcast up to this number (under 20 MB), else a shuffled join follows.
 BROADCAST_IDS = 200_000
+#: Tasks among which the rows of a group are spread where groups are joined by a shuffle.
+SALTS = 8
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 
@@ -75,7 +77,9 @@ def gram_sets(data: np.ndarray, cuts: np.ndarray, n: int = N, seed: int = 0) ->
         has = words[short] > k
         shorts[has] = mix(shorts[has] * M1 + h[first[short[has]] + k] + np.uint64(1000 * (k + 1)))
     rows, grams = np.concatenate([row[ok], short]), np.concatenate([acc[ok], shorts])
-    order = np.lexsort((grams, rows))
+    order = np.argsort(grams)
+    # A stable sort of 16-bit numbers is linear.
+    order = order[np.argsort(rows[order].astype(np.uint16 if len(words) <= 1 << 16 else np.int64), kind="stable")]
     rows, grams = rows[order], grams[order]
     keep = np.ones(len(rows), bool)
     keep[1:] = (rows[1:] != rows[:-1]) | (grams[1:] != grams[:-1])
@@ -620,9 +624,26 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     component of their text but never name one; equal rows are linked to each other. Texts are whole, however long; an empty
     table gives no row, and columns other than doc_id and text are not read.
     """
-    rows = members(docs, n, num, den)
-    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"))
-    return rows.join(least, "root", "left").select("doc_id", "n_shingles", F.when(F.col("root").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    rows = written(members(docs, n, num, den), "members")
+    least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
+    named = with_group(rows, least.select("root", "component_id"), "left")
+    # A group of one row has no entry, and a row without words no group: their own id.
+    alone = F.col("component_id").isNull() & ~F.col("grouped")
+    return named.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def with_group(rows: DataFrame, of_group: DataFrame, how: str) -> DataFrame:
+    """rows with what of_group (root, ..) has of their group, and grouped, whether it has anything.
+
+    Few groups are broadcast. More are shuffled, each several times, so that the rows of a large one are spread.
+    """
+    of_group = written(of_group.withColumn("grouped", F.lit(True)), "of-group")
+    if small(of_group, BROADCAST_IDS):
+        out = rows.join(F.broadcast(of_group), "root", how)
+    else:
+        spread = of_group.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        out = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "key"), F.lit(SALTS)).cast("int")).join(spread, ["root", "salt"], how).drop("salt")
+    return out.withColumn("grouped", F.coalesce("grouped", F.lit(False)))
 
 
 def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -634,8 +655,8 @@ def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Dat
     rows = written(members(docs, n, num, den).where("root IS NOT NULL"), "members")
     name = uuid.uuid4().hex
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
-    best = rows.groupBy("root").agg(F.min(order).alias("best")).select("root", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key"))
-    named = rows.join(best, "root")
+    best = rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
+    named = with_group(rows, best.select("root", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key")), "inner")
     stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key"))
     gone = written(named.where(~stays).select(F.col("doc_id").alias(f"id_{name}"), F.col("key").alias(f"key_{name}")).distinct(), "gone")
     twice = named.where(stays).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias(f"id_{name}"), F.col("key").alias(f"key_{name}"))
