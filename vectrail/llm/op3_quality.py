@@ -6,15 +6,19 @@ the square of sums minus the sum of squares, factor by factor.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import documents, map_batches, null_safe_text, row_chunks, runs, table, text_buffers, word_hash
+from vectrail.llm.common import documents, map_batches, null_safe_text, row_chunks, runs, table, text_buffers, word_hash, written
 
 #: At most this many labelled rows are fitted on: those with the smallest hash of their doc_id.
 FIT_ROWS = 12_000
+#: Bytes of features that are fitted on at once; of more, block after block is read in each pass.
+BLOCK_BYTES = 64 << 20
 WORD_BUCKETS = 1 << 15
 STATS = 13
 BINS = 24
@@ -112,17 +116,19 @@ class Machine:
     def score(self, n, rows, feats, vals):
         return 1 / (1 + np.exp(-np.clip(self.raw(n, rows, feats, vals)[0], -30, 30)))
 
-    def fit(self, entries: list, labels: np.ndarray, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.15, decay: float = 1e-6, seed: int = 7) -> Machine:
-        """AdaGrad on the logistic loss. entries: (features, values) of each row. One class alone, or no row, gives its rate."""
-        if not len(labels):
+    def fit(self, load: Callable[[int], tuple[list, np.ndarray]], n_blocks: int, mean: float | None, epochs: int = EPOCHS, batch: int = 128, rate: float = 0.15, decay: float = 1e-6, seed: int = 7) -> Machine:
+        """AdaGrad on the logistic loss, block by block. load gives a block's (features, values) of each row and its labels, mean is
+        the share of label 1. One class alone, or no row, gives its rate."""
+        if mean is None:
             return self
         rng = np.random.default_rng(seed)
-        mean = np.clip(labels.mean(), 1e-3, 1 - 1e-3)
-        self.b = float(np.log(mean / (1 - mean)))
-        if labels.min() == labels.max():
+        clipped = np.clip(mean, 1e-3, 1 - 1e-3)
+        self.b = float(np.log(clipped / (1 - clipped)))
+        if mean in (0.0, 1.0):
             return self
         gw, gv, gb = np.full(SIZE, 1e-4), np.full((SIZE, FACTORS), 1e-4), 1e-4
-        for _ in range(epochs):
+        for block in (b for _ in range(epochs) for b in rng.permutation(n_blocks).tolist()):
+            entries, labels = load(block)
             order = rng.permutation(len(labels))
             for at in range(0, len(order), batch):
                 part = order[at : at + batch]
@@ -158,7 +164,11 @@ def _inputs(docs: DataFrame, *keep: str) -> DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machine:
-    """Fits on at most fit_rows labelled rows outside the held-out fold (rows without a label or text take no part)."""
+    """Fits on at most fit_rows labelled rows outside the held-out fold (rows without a label or text take no part).
+
+    Their features are written to the shared folder, and at most about BLOCK_BYTES of them are on the driver. A label's repeated
+    rows and a document's count each; without any row the machine gives 1/2 plus the little that its random start adds.
+    """
     chosen = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).select("doc_id", "quality").orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(fit_rows)
 
     def run(batches):
@@ -169,13 +179,29 @@ def train(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> Machi
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, n), b.column(1).slice(lo, n), pa.array([f[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary()), pa.array([v[x:y].tobytes() for x, y in zip(cut[:-1], cut[1:], strict=True)], pa.binary())], ["doc_id", "quality", "f", "v"])
 
     # fit_rows bounds the broadcast side.
-    rows = map_batches(_inputs(docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality"), run, "doc_id long, quality int, f binary, v binary").toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending")])
-    entries = [(np.frombuffer(f, np.uint16), np.frombuffer(v, np.float32)) for f, v in zip(rows["f"].to_pylist(), rows["v"].to_pylist(), strict=True)]
-    return Machine().fit(entries, rows["quality"].to_numpy().astype(np.float64))
+    rows = map_batches(_inputs(docs.where("text IS NOT NULL").join(F.broadcast(chosen), "doc_id"), "doc_id", "quality"), run, "doc_id long, quality int, f binary, v binary")
+    rows = written(rows, "fit-rows")
+    size, mean = rows.agg(F.sum(F.octet_length("f") + F.octet_length("v")), F.avg("quality")).first()
+    n_blocks = max(1, -(-(size or 0) // BLOCK_BYTES))
+    held: dict[int, tuple] = {}
+
+    def load(block: int):
+        if block not in held:
+            held.clear()
+            got = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(n_blocks)) == block).toArrow().sort_by([("doc_id", "ascending"), ("quality", "ascending"), ("f", "ascending")])
+            entries = [(np.frombuffer(f, np.uint16), np.frombuffer(v, np.float32)) for f, v in zip(got["f"].to_pylist(), got["v"].to_pylist(), strict=True)]
+            held[block] = entries, got["quality"].to_numpy().astype(np.float64)
+        return held[block]
+
+    return Machine().fit(load, n_blocks, mean)
 
 
 def score(docs: DataFrame, machine: Machine) -> DataFrame:
-    """docs with score (0 to 1) and predicted, the score's side of CUT. A null or empty text is scored on its statistics."""
+    """(doc_id, score, predicted) of every row of docs: score from 0 to 1, predicted its side of CUT.
+
+    A null or empty text is scored on its statistics; repeated rows have equal scores; texts are read whole; an empty table gives
+    no row. Columns other than doc_id, text and n_chars are not read, whatever their names.
+    """
     held = docs.sparkSession.sparkContext.broadcast(machine)
     plain = _inputs(docs, "doc_id")
 
@@ -190,7 +216,7 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, machine: Machine) -> DataFrame:
-    """The rows of docs that the machine accepts, with docs' own columns."""
+    """The rows of docs that the machine accepts, with docs' own columns, repeated rows and null ids among them."""
     held = docs.sparkSession.sparkContext.broadcast(machine)
     names = docs.columns
     text = names.index("text")

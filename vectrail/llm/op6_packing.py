@@ -23,7 +23,10 @@ PART_ROWS = 20_000
 
 
 def token_lengths(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens), the end id counted; a null or empty text has 1."""
+    """(doc_id, n_tokens) of every row, the end id counted; a null or empty text has 1, repeated rows equal numbers.
+
+    Texts are read whole, however long; columns other than doc_id and text are not read.
+    """
 
     def run(batches):
         for b in batches:
@@ -68,7 +71,9 @@ def boundaries(histogram: dict[int, int], buckets: int = BUCKETS) -> list[int]:
 def pack(lengths: DataFrame, *, max_length: int = MAX_LENGTH, buckets: int = BUCKETS, budget: int = BUDGET, part_rows: int = PART_ROWS) -> DataFrame:
     """(doc_id, piece, start, n_tokens, bucket, boundary, batch, slot, padding) of every piece of lengths (doc_id, n_tokens).
 
-    Batch numbers run from 0 in each bucket. Only the histogram, of at most max_length rows, comes to the driver.
+    Batch numbers run from 0 in each bucket. Only the histogram, of at most max_length rows, comes to the driver. Rows whose
+    n_tokens is null or not positive have no piece; null ids are packed like others and come first; rows that repeat an id are
+    packed each, in the order of their lengths; other columns are not read. An empty table gives no row.
     """
     whole = F.ceil(F.col("n_tokens") / max_length).cast("int")
     pieces = lengths.where("n_tokens > 0").select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0), whole - 1)).alias("piece"))
@@ -81,11 +86,11 @@ def pack(lengths: DataFrame, *, max_length: int = MAX_LENGTH, buckets: int = BUC
     at = F.lit(None)
     for i, e in reversed(list(enumerate(edges))):
         at = F.when(F.col("n_tokens") <= e, F.struct(F.lit(i).alias("bucket"), F.lit(e).cast("long").alias("boundary"))).otherwise(at)
-    dealt = pieces.withColumn("b", at).select("*", "b.*").drop("b").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(parts)))
+    dealt = pieces.withColumn("b", at).select("*", "b.*").drop("b").withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "n_tokens"), F.lit(parts)))
     # A bucket's pieces are numbered part by part: a part's first number is the size of the parts before it.
     sizes = dealt.groupBy("bucket", "part").agg(F.count("*").alias("n"))
     firsts = sizes.select("bucket", "part", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first"))
-    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "piece")) - 1).join(firsts, ["bucket", "part"])
+    numbered = dealt.withColumn("i", F.row_number().over(Window.partitionBy("bucket", "part").orderBy("doc_id", "piece", "n_tokens")) - 1).join(firsts, ["bucket", "part"])
     room = F.greatest(F.lit(1).cast("long"), F.floor(F.lit(budget) / F.col("boundary")))
     number = F.col("first") + F.col("i")
     return numbered.select("doc_id", "piece", "start", "n_tokens", "bucket", "boundary", F.floor(number / room).alias("batch"), F.pmod(number, room).cast("long").alias("slot"), (F.col("boundary") - F.col("n_tokens")).alias("padding"))
