@@ -68,6 +68,20 @@ def sparse_problem(vec, dim: int) -> Column:
     )
 
 
+def blocked_rows(df: DataFrame, lanes: int = 32) -> DataFrame:
+    """(block, width, indices, values): sparse rows (id, vec) in blocks of consecutive ids, padded to the block's longest row.
+
+    The k-th entry of lane l (the id's place in its block) stands at k * lanes + l of both arrays; what is padded is 0 in both.
+    """
+    block, lane = F.floor(F.col("id") / lanes), F.pmod("id", F.lit(lanes)).cast("int")
+    width = F.max(F.size("vec.indices")).alias("width")
+    cells = F.transform(F.arrays_zip("vec.indices", "vec.values"), lambda e, k: F.struct((k * lanes + lane).alias("place"), e["indices"].alias("i"), e["values"].cast("double").alias("x")))
+    packed = df.groupBy(block.alias("block")).agg(width, F.flatten(F.collect_list(cells)).alias("cells"))
+    of = lambda name, zero: F.transform(F.sequence(F.lit(0), F.col("width") * lanes - 1), lambda p: F.coalesce(F.try_element_at(F.col(name), p), zero))
+    maps = packed.select("block", "width", F.map_from_arrays("cells.place", "cells.i").alias("i"), F.map_from_arrays("cells.place", "cells.x").alias("x")).where("width > 0")
+    return maps.select("block", "width", of("i", F.lit(0)).alias("indices"), of("x", F.lit(0.0)).alias("values"))
+
+
 def with_ids(df: DataFrame, order_by: list[str], start: int = 0) -> DataFrame:
     """Consecutive ids in the order of the columns: rows are numbered within their range of it, and ranges by their sizes."""
     name = f"_at_{uuid.uuid4().hex}"

@@ -324,6 +324,13 @@ def csr_rows(spark, d):
     return E.sparse_to_long(df)
 
 
+@query("blocked_rows", f"WITH {SP}, e AS (SELECT id, unnest(range(64)) AS i, unnest(vec) AS x FROM b), nz AS (SELECT id // 32 AS block, id % 32 AS lane, row_number() OVER (PARTITION BY id ORDER BY i) - 1 AS k, i, x FROM e WHERE x <> 0), w AS (SELECT block, max(k) + 1 AS width FROM nz GROUP BY block), p AS (SELECT block, unnest(range(width * 32)) AS place FROM w) SELECT p.block, CAST(p.place AS INTEGER) AS place, CAST(coalesce(nz.i, 0) AS INTEGER) AS dim_idx, coalesce(nz.x, 0)::DOUBLE AS value FROM p LEFT JOIN nz ON nz.block = p.block AND nz.k * 32 + nz.lane = p.place")
+def blocked_rows(spark, d):
+    """Sparse rows in padded blocks of 32, cell by cell."""
+    b = E.blocked_rows(sparse_table(spark, d))
+    return b.select("block", F.posexplode(F.arrays_zip("indices", "values")).alias("place", "c")).select("block", "place", F.col("c.indices").alias("dim_idx"), F.col("c.values").alias("value"))
+
+
 @query("generators", "SELECT 2000::BIGINT AS n, 16 AS dim, 0::BIGINT AS outside, true AS centred")
 def generators(spark, d):
     """Uniform rows stay within their bounds, and normal ones have a mean near 0 and a variance near 1."""
