@@ -39,12 +39,14 @@ def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric
         return lists.sparkSession.createDataFrame([], DDL)
     qids, first, number = np.unique(got["query_id"].to_numpy(), return_index=True, return_inverse=True)
     q = matrix(got["vec"].combine_chunks().take(pa.array(first)))
-    probed = np.zeros((len(qids), n_lists), bool)
-    probed[number, got["list_id"].to_numpy()] = True
-    held = lists.sparkSession.sparkContext.broadcast((qids, q, probed))
+    # The queries of list l are by_list[first[l] : first[l + 1]].
+    of_list = got["list_id"].to_numpy()
+    by_list = number[np.lexsort((number, of_list))]
+    first = np.searchsorted(np.sort(of_list), np.arange(n_lists + 1))
+    held = lists.sparkSession.sparkContext.broadcast((qids, q, by_list, first))
 
     def run(batches):
-        qids, q, probed = held.value
+        qids, q, by_list, first = held.value
         best = TopK(q, k, DataType.DENSE_FLOAT, metric)
         for b in batches:
             if not b.num_rows:
@@ -54,12 +56,12 @@ def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric
             edge = np.append(np.nonzero(np.diff(lists[order], prepend=-1))[0], len(order))
             for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
                 rows = order[x:y]
-                who = np.nonzero(probed[:, lists[rows[0]]])[0]
+                who = by_list[first[lists[rows[0]]] : first[lists[rows[0]] + 1]]
                 if len(who):
                     best.add(m[rows], ids[rows], who)
         yield from best.batch(qids)
 
-    asked = np.unique(got["list_id"].to_numpy()).tolist()
+    asked = np.unique(of_list).tolist()
     return lists.where(F.col("list_id").isin(asked) if len(asked) < n_lists else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
 
 

@@ -10,7 +10,7 @@ from vectrail.functions import metrics as M
 from vectrail.functions.encoding import sparse_to_long
 from vectrail.operators.block import block_knn, block_knn_broadcast
 from vectrail.plans.planner import choose_strategy
-from vectrail.types import DENSE, SPARSE, DataType, Metric, require_valid
+from vectrail.types import SPARSE, DataType, Metric, require_valid
 
 
 def top_k(pairs: DataFrame, k: int, *, descending: bool = False) -> DataFrame:
