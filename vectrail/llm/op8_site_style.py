@@ -27,11 +27,12 @@ from collections import Counter
 from functools import lru_cache
 from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import hash_texts, map_batches, small, table, written
+from vectrail.llm.common import forget, hash_texts, map_batches, small, table, written
 
 G = 0.9
 #: Pages that the figures of all hosts count for beside a host's own.
@@ -246,33 +247,61 @@ def host_column(url: str = "url") -> Column:
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^\s*(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#\s]*)", 1))
 
 
-RAW_ROWS = "host string, kind int, node long, hash long, words long, page long, parent long, container boolean, inside boolean, chain array<long>"
+PAGE_ROW = "host string, page long, texts array<struct<node:long,hash:long,words:int>>, styles array<struct<node:long,hash:long>>, nodes array<struct<node:long,parent:long,container:boolean,inside:boolean,chain:array<long>>>"
+#: Nodes that a task remembers, lest it tell of them again.
+REMEMBERED = 100_000
 
 
 def page_rows(pages: DataFrame) -> DataFrame:
-    """What each page tells of its host's tree: texts (kind 0), child sequences (1), nodes (2) and itself (3)."""
+    """What each page tells of its host's tree: its texts, child sequences and nodes, and a name that alike pages share.
+
+    A task tells of a node once, as long as it remembers it.
+    """
+
+    def lists(counts: list[int], **columns) -> pa.Array:
+        """One list of structs a page of flat columns."""
+        ends = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(list(columns.values()), list(columns)))
 
     def run(batches):
+        seen: set[tuple[str, int]] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
-                rows: set[tuple] = set()
-                for host, source in zip(part.column(0).to_pylist(), part.column(1), strict=True):
-                    page = Page(source.as_py() or "")
-                    texts = hash_texts([t for _, _, t in page.blocks]).tolist()
-                    styles = list(page.styles.items())
-                    looks = hash_texts([" ".join(names) for _, names in styles]).tolist()
-                    whole = int(hash_texts([repr((texts, [c for c, _, _ in page.blocks], looks, [n for n, _ in styles]))])[0])
-                    rows |= {(host, 0, c[-1], h, len(t.split()) * (MARKED if i else 1), whole, None, None, None, None) for (c, i, t), h in zip(page.blocks, texts, strict=True)}
-                    rows |= {(host, 1, n, h, None, whole, None, None, None, None) for (n, _), h in zip(styles, looks, strict=True)}
-                    rows |= {(host, 2, n, None, None, None, p, c, i, chain) for n, (p, c, i, chain) in page.nodes.items()}
-                    rows.add((host, 3, None, None, None, whole, None, None, None, None))
-                types = (pa.string(), pa.int32(), *(pa.int64(),) * 5, pa.bool_(), pa.bool_(), pa.list_(pa.int64()))
-                names = [f.split()[0] for f in RAW_ROWS.split(", ")]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
-
-    return map_batches(pages.select(host_column().alias("host"), "html"), run, RAW_ROWS)
+                hosts = part.column(0).to_pylist()
+                parsed = [Page(s.as_py() or "") for s in part.column(1)]
+                blocks = [x for p in parsed for x in p.blocks]
+                text_hash, text_node = hash_texts([t for _, _, t in blocks]), np.array([c[-1] for c, _, _ in blocks], np.int64)
+                words = np.array([len(t.split()) * (MARKED if i else 1) for _, i, t in blocks], np.int32)
+                styles = [x for p in parsed for x in p.styles.items()]
+                look, look_node = hash_texts([" ".join(names) for _, names in styles]), np.array([n for n, _ in styles], np.int64)
+                n_texts, n_styles = [len(p.blocks) for p in parsed], [len(p.styles) for p in parsed]
+                names, x, y = [], 0, 0
+                for k, l in zip(n_texts, n_styles, strict=True):  # noqa: E741
+                    raw = b"".join(v.tobytes() for v in (text_hash[x : x + k], text_node[x : x + k], look[y : y + l], look_node[y : y + l]))
+                    names.append(int.from_bytes(blake2b(raw, digest_size=8).digest(), "little", signed=True))
+                    x, y = x + k, y + l
+                if len(seen) > REMEMBERED:
+                    seen.clear()
+                new = []
+                for host, p in zip(hosts, parsed, strict=True):
+                    fresh = [(n, *v) for n, v in p.nodes.items() if (host, n) not in seen]
+                    seen.update((host, f[0]) for f in fresh)
+                    new.append(fresh)
+                flat = [f for fresh in new for f in fresh]
+                node, parent, container, inside, chain = (list(c) for c in zip(*flat, strict=True)) if flat else ([], [], [], [], [])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(hosts, pa.string()),
+                        pa.array(names, pa.int64()),
+                        lists(n_texts, node=pa.array(text_node), hash=pa.array(text_hash), words=pa.array(words)),
+                        lists(n_styles, node=pa.array(look_node), hash=pa.array(look)),
+                        lists([len(f) for f in new], node=pa.array(node, pa.int64()), parent=pa.array(parent, pa.int64()), container=pa.array(container, pa.bool_()), inside=pa.array(inside, pa.bool_()), chain=pa.array(chain, pa.list_(pa.int64()))),
+                    ],
+                    ["host", "page", "texts", "styles", "nodes"],
+                )
+
+    return map_batches(pages.select(host_column().alias("host"), "html"), run, PAGE_ROW)
 
 
 def style_tree(pages: DataFrame) -> DataFrame:
@@ -281,16 +310,18 @@ def style_tree(pages: DataFrame) -> DataFrame:
     words is the number a page, importance as described above; both lean on all hosts where a host has few pages. Texts are
     counted by (host, node, hash), so those of a large host are spread over all tasks.
     """
-    raw = written(page_rows(pages).distinct(), "page-rows")
-    m = raw.where("kind = 3").groupBy("host").agg(F.count("*").alias("m"))
-    texts = raw.where("kind = 0").groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.max("words").alias("w")).join(m, "host")
+    raw = written(page_rows(pages), "page-rows")
+    nodes = written(raw.select("host", F.inline("nodes")).dropDuplicates(["host", "node"]), "nodes")
+    once = written(raw.select("host", "page", "texts", "styles").dropDuplicates(["host", "page"]), "pages-once")
+    forget(raw)
+    m = once.groupBy("host").agg(F.count("*").alias("m"))
+    texts = once.select("host", "page", F.inline("texts")).distinct().groupBy("host", "node", "hash").agg(F.count("*").alias("n"), F.max("words").alias("w")).join(m, "host")
     entropy = F.when(F.col("m") > 1, F.least(F.lit(1.0), F.log("n") / F.log("m"))).otherwise(F.lit(0.0))
     mass = F.col("n") * F.col("w")
     leaves = texts.select("host", "node", mass.alias("mass"), (mass * (1 - entropy)).alias("new")).groupBy("host", "node").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
-    nodes = raw.where("kind = 2").select("host", "node", "parent", "container", "inside", "chain").dropDuplicates(["host", "node"])
     below = leaves.join(nodes.select("host", "node", "chain"), ["host", "node"], "left").select("host", "mass", "new", F.explode(F.coalesce("chain", F.array(F.lit(0).cast("long")))).alias("node"))
     branches = below.groupBy("host", "node").agg(F.sum("mass").alias("mass"), F.sum("new").alias("new"))
-    looks = raw.where("kind = 1").groupBy("host", "node", "hash").agg(F.count("*").alias("n"))
+    looks = once.select("host", F.inline("styles")).groupBy("host", "node", "hash").agg(F.count("*").alias("n"))
     looks = looks.groupBy("host", "node").agg(F.count("*").alias("l"), F.sum("n").alias("N"), F.sum(F.col("n") * F.log("n")).alias("n_log_n"))
     own = branches.join(m, "host").join(looks, ["host", "node"], "left")
     g = F.pow(F.lit(G), F.coalesce("l", F.lit(0)))
