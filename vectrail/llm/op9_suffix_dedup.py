@@ -10,8 +10,9 @@ Q-gram with the smallest hash is an anchor, so equal strings have equal anchors
 by their Q-gram. Of texts that are wholly equal (SHA-256) only the first one is looked at, and of anchors whose
 surroundings, as far as a string around them can reach, have the same BLAKE2 digest of 128 bits only the first one is
 refined: the others repeat it wholly. A task sends surroundings that it remembers no second time, so a passage that a third of
-all documents holds costs a few rows a task. The surroundings of a Q-gram that has very many different ones are dealt
-once more, by the bytes that every string to the left, or to the right, of their middle holds.
+all documents holds costs a few rows a task. The surroundings of a Q-gram that has many different ones are dealt once more:
+strings are divided by how far before the Q-gram they start, STEP places a class, and the surroundings go to each class
+by the bytes that all its strings have in common.
 """
 
 from __future__ import annotations
@@ -23,15 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import CHUNK, M0, M1, M2, documents, eights, map_batches, mix, row_chunks, small, text_buffers, word_hash, written
+from vectrail.llm.common import CHUNK, M0, M1, M2, documents, eights, map_batches, mix, row_chunks, small, text_buffers, written
 
 LENGTH, Q, START = 100, 24, 8
 REACH = LENGTH - Q
-HALF = REACH // 2
-#: Rows that travel by broadcast (under 20 MB); beyond it they are joined by a shuffle.
-BROADCAST_SPANS = 200_000
+STEP = 11
+#: Rows that travel by broadcast (16 to 40 bytes each); beyond it they are joined by a shuffle.
+BROADCAST_SPANS = 250_000
 #: Surroundings that are refined at once, and those of a Q-gram beyond which they are dealt once more.
-CONTEXTS, BIG = 4_000, 8_000
+CONTEXTS, BIG = 4_000, 2_000
 #: Surroundings that a task remembers, as a power of two.
 REMEMBERED_LOG2 = 17
 
@@ -305,20 +306,22 @@ def refine_buckets(contexts: DataFrame) -> DataFrame:
 def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(gram, side, part, did, th, start, text): the bytes of the wanted parts, read from their documents.
 
-    Surroundings of a Q-gram with BIG different ones go out twice: the strings that start HALF before the anchor or later
-    all hold the HALF bytes behind the Q-gram, the others those before it, and these bytes name the part.
+    Surroundings of a Q-gram with BIG different ones go out once for each class of strings, as far as these reach; the bytes that
+    all strings of the class hold, some 90, name the part.
     """
 
-    def sides(text, p):
+    def sides(raw, p):
         at, start, end = p["at"], p["start"], p["end"]
         if not p["big"]:
             yield 0, 0, start, end
             return
-        if end - at >= Q + HALF:
-            x = at + Q
-            yield 1, int(word_hash(text, np.array([x]), np.array([x + HALF]))[0].view(np.int64)), max(start, at - HALF), end
-        if at - start >= HALF:
-            yield 2, int(word_hash(text, np.array([at - HALF]), np.array([at]))[0].view(np.int64)), start, min(end, at - HALF + LENGTH)
+        for side, least in enumerate(range(0, REACH + 1, STEP)):
+            most = min(least + STEP - 1, REACH)
+            # Strings start least to most places before the anchor; some must lie in the surroundings.
+            if max(least, at + LENGTH - end) <= min(most, at - start):
+                core = raw[at - least : at - most + LENGTH]
+                name = int.from_bytes(hashlib.blake2b(core, digest_size=8).digest(), "little", signed=True)
+                yield side + 1, name, max(start, at - most), min(end, at - least + LENGTH)
 
     def run(batches):
         for b in batches:
@@ -327,7 +330,7 @@ def fetch(rows: DataFrame, wanted: DataFrame) -> DataFrame:
             for r, parts in enumerate(b.column(3).to_pylist()):
                 text = data[offsets[r] : offsets[r + 1]]
                 raw = text.tobytes()
-                out = [(p["gram"], *side) for p in parts for side in sides(text, p)]
+                out = [(p["gram"], *side) for p in parts for side in sides(raw, p)]
                 if out:
                     gram, side, part, start, end = zip(*out, strict=True)
                     yield pa.RecordBatch.from_arrays(
