@@ -1,6 +1,6 @@
 """Approximate maximum inner product search by score-aware anisotropic quantisation.
 
-Vectors are coded with 4 bits for each pair of components. Codes are chosen to minimise a loss in which the part of the
+Vectors are coded with 4 bits for each component. Codes are chosen to minimise a loss in which the part of the
 residual that is parallel to the vector weighs more than the rest, since it is what changes large inner products.
 Queries scan the codes by table lookups, two codes a byte, and the best rows are scored again on the original vectors.
 Codes are dealt into shares that a task holds whole, and queries stream past them: what is moved is the codes, a few times at
@@ -36,7 +36,7 @@ QUERY_ROWS, SCAN_ROWS, SHARE_BYTES = 256, 1 << 14, 32 << 20
 
 
 class Quantiser:
-    def __init__(self, width: int = 2):
+    def __init__(self, width: int = 1):
         self.width = width
         self.books: np.ndarray | None = None
 
@@ -218,7 +218,7 @@ def search(vectors: DataFrame, is_query, k: int = 20, keep: int = KEEP, fit_rows
 
     def best(asked_reps: DataFrame, index: DataFrame, coded: bool) -> DataFrame:
         """(asked, vec_id, score, r, settled) of the k + 1 best rows of each query."""
-        row_bytes = 8 + (-(-dim // 4) if coded else 8 * dim)
+        row_bytes = 8 + (-(-dim // 2) if coded else 8 * dim)
         shares = max(1, -(-n_reps * row_bytes // SHARE_BYTES))
         groups = -(-parallel // shares)  # of queries, so that all cores have work
         every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
