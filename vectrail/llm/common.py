@@ -52,7 +52,7 @@ def written(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
     Where rows, a bound on its number of rows, is given, it is written by no more tasks than these need.
     """
     path = shared_folder(df.sparkSession, name)
-    df = df if rows is None else df.coalesce(max(4, rows // FILE_ROWS))
+    df = df if rows is None else df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, rows // FILE_ROWS))
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._shared_path = path

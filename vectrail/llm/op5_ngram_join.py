@@ -45,7 +45,7 @@ COMMON, OFTEN = 64, 65535
 #: Classes that a task remembers, lest it send them again.
 REMEMBERED = 200_000
 #: Postings of a gram in a tile, about.
-TILE = 512
+TILE = 128
 #: Parts of a suffix, and the largest size that is told of one.
 PARTS, PART_MOST = 8, 255
 #: Other groups to which a posting proposes a pair in a round; all pairs follow after the rounds.
