@@ -139,6 +139,17 @@ def test_disguises_in_disguised_marks(text, part):
     assert base == [] and [text[a:b] for a, _, b in added] == [part]
 
 
+def test_hints_leave_nothing_out(monkeypatch):
+    """Texts without a hint are not read by the second transducer: it would not have changed the result."""
+    rng = random.Random(8)
+    bag = ["at", "AT", " ", "  ", "\t", "dot", "Dot", "[", "]", "(", ")", "@", ".", "com", "x", "mail", "plus", "+", "1", "555", "one", "ſeven", "Two", ", ", "-", "é", "ａ", "&#64;", "K", "192", "of", "ß"]
+    texts = ["".join(rng.choice(bag) for _ in range(rng.randint(1, 30))) for _ in range(20_000)]
+    texts += [" ".join(["ſeven one two five five five oh one oh oh"]), "+ ſix one two five five five oh one oh oh", "x@mail.com at y.com", "jane AT mail.COM"]
+    quick = [op7_pii.find(t) for t in texts]
+    monkeypatch.setattr(op7_pii, "hints", lambda text: (True, True))
+    assert [op7_pii.find(t) for t in texts] == quick and sum(len(a) for _, a in quick) > 50
+
+
 def test_plain_prose_is_left_alone():
     for text in ("look at example.com", "We met at noon. It was at home.then we left", "available at shop.example.com today", "one day, two of us", "a & b &#8364; c", "the dot at the end", "&#1114112; &#0; &#xD800;"):
         assert op7_pii.find(text) == ([], [])

@@ -118,6 +118,10 @@ WORDS = re.compile(rf"(?P<spelled>{_long}){_others}", re.IGNORECASE)
 #: The second reading: number words in runs of any length, over commas too.
 WORDS_ANY = re.compile(rf"(?P<spelled>{_any}){_others}", re.IGNORECASE)
 NUMBER = re.compile(rf"\b(?:{_number})\b", re.IGNORECASE)
+# What a text must hold, case folded, for the second transducer to write anything.
+HINTS = ("dot", "plus", "+ ", "+\t", " @", "\t@", "@ ", "@\t")
+BRACKETED = re.compile(r"[\[({<][ \t]{0,3}(?:at|@|dot|\.)[ \t]{0,3}[\])}>]")
+AT_HOST = re.compile(r"at[ \t]{1,3}" + _host)
 LAST_WORD = re.compile(r"[A-Za-z]+\Z")
 MARK_OF = {"at": "@", "wordat": "@", "hostat": "@", "apart": "@", "dot": ".", "worddot": ".", "plus": "+"}
 
@@ -159,7 +163,7 @@ def reworded(m: re.Match) -> str | None:
     """What the second transducer writes for a match; None leaves it as it is."""
     kind = m.lastgroup
     if kind == "spelled":
-        new = "".join(NUMBERS[w.lower()] for w in re.findall(r"[A-Za-z]+", m[0]))
+        new = "".join(NUMBERS[w.casefold()] for w in re.findall(r"[^\W\d_]+", m[0]))
         # A comma between digits and number words becomes a blank, which the patterns allow.
         return " " + new if m[0].startswith(",") else new
     if kind == "hostat":
@@ -208,13 +212,20 @@ class Layer:
         return k < len(self.pieces) and self.pieces[k][0] < b
 
 
-def disguised_spans(text: str, characters: list[Piece], words: re.Pattern) -> list[tuple[int, int, int, bool]]:
+def hints(text: str) -> tuple[bool, bool]:
+    """Whether a text holds number words, and whether it holds other words that the second transducer may rewrite."""
+    low = text.casefold()
+    numbers = any(w in low for w in NUMBERS) and bool(NUMBER.search(text))
+    return numbers, any(h in low for h in HINTS) or bool(BRACKETED.search(low)) or bool(AT_HOST.search(low))
+
+
+def disguised_spans(text: str, characters: list[Piece], words: re.Pattern | None) -> list[tuple[int, int, int, bool]]:
     """(start, kind, end, whether only characters are rewritten in it) in the source of the identifiers that the rewritten text
     shows and that hold a rewritten piece.
 
-    text is the first transducer's output, characters are its pieces.
+    text is the first transducer's output, characters are its pieces; without a pattern no words are rewritten.
     """
-    new, pieces = rewrite(text, words, reworded)
+    new, pieces = rewrite(text, words, reworded) if words else (text, [])
     if not pieces and not characters:
         return []
     second, first = Layer(pieces), Layer(characters)
@@ -233,7 +244,8 @@ def find(text: str | None) -> tuple[list, list]:
     base = plain_spans(text)
     plain, characters = (text, []) if text.isascii() and "&" not in text else rewrite(text, FOLD, folded)
     added = []
-    for words in (WORDS, WORDS_ANY) if NUMBER.search(plain) else (WORDS,):
+    numbers, marks = hints(plain)
+    for words in (WORDS, WORDS_ANY) if numbers else (WORDS,) if marks else (None,) if characters else ():
         taken = sorted((a, b, k) for a, k, b in base + added)
         for a, k, b, whole in disguised_spans(plain, characters, words):
             i = bisect_right(taken, (a, len(text) + 1, 0))
@@ -248,10 +260,6 @@ def find(text: str | None) -> tuple[list, list]:
     return base, sorted(added)
 
 
-def listed(spans) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-
 def mask(text: str | None) -> str | None:
     """The text with every identifier replaced by its kind in brackets."""
     if not text:
