@@ -13,6 +13,9 @@ from vectrail.operators.knn import check_dims, top_k
 from vectrail.plans.planner import BROADCAST_ROWS, at_most
 from vectrail.types import DataType, Metric
 
+#: Up to so many lists are named in the scan's filter, so that folders of others are not read.
+PRUNED_LISTS = 1000
+
 
 def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, metric: Metric) -> DataFrame:
     """(query_id, vec, list_id) of each query's n_probe nearest lists, ties to the lower list."""
@@ -62,7 +65,7 @@ def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric
         yield from best.batch(qids)
 
     asked = np.unique(of_list).tolist()
-    return lists.where(F.col("list_id").isin(asked) if len(asked) < n_lists else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
+    return lists.where(F.col("list_id").isin(asked) if len(asked) < min(n_lists, PRUNED_LISTS) else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
 
 
 def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric) -> DataFrame:
