@@ -274,9 +274,11 @@ def block_knn(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, me
     return both.mapInArrow(search, DDL)
 
 
-def block_knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, metric: Metric) -> DataFrame:
-    """The same for a query set whose size the caller has checked: it travels with the tasks, so the corpus is not shuffled."""
-    t = queries.select("query_id", "vec").toArrow().combine_chunks()
+def block_knn_broadcast(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, metric: Metric, held: pa.Table | None = None) -> DataFrame:
+    """The same for a query set whose size the caller has checked: it travels with the tasks, so the corpus is not shuffled.
+
+    held are its rows, if the caller has them."""
+    t = (queries.select("query_id", "vec").toArrow() if held is None else held).combine_chunks()
     batches = t.to_batches()
     spark = corpus.sparkSession
     if not batches:

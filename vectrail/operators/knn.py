@@ -74,8 +74,9 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, met
     "block" (numpy blocks, both sides of any size), "inverted" (sparse only), or "auto", which measures the query side.
     """
     require_valid(dtype, metric)
+    held = None
     if strategy == "auto":
-        strategy = choose_strategy(queries)
+        strategy, held = choose_strategy(queries)
     if strategy == "inverted":
         if dtype not in SPARSE:
             raise ValueError("only sparse vectors have an inverted strategy")
@@ -84,8 +85,8 @@ def knn_join(queries: DataFrame, corpus: DataFrame, k: int, dtype: DataType, met
         return top_k(pair_distances(queries, corpus, dtype, metric), k, descending=metric is Metric.TANIMOTO)
     if strategy not in ("block", "broadcast"):
         raise ValueError(f"unknown strategy {strategy}")
-    run = block_knn if strategy == "block" else block_knn_broadcast
-    best = top_k(run(queries, corpus, k, dtype, metric), k)
+    found = block_knn(queries, corpus, k, dtype, metric) if strategy == "block" else block_knn_broadcast(queries, corpus, k, dtype, metric, held)
+    best = top_k(found, k)
     return best.withColumn("distance", -F.col("distance")) if metric is Metric.TANIMOTO else best
 
 

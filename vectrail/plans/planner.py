@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Query rows that may be broadcast; at 1,024 doubles a row this is 64 MB. Tasks work on them in tiles.
@@ -15,6 +16,8 @@ def at_most(df: DataFrame, rows: int) -> bool:
     return df.limit(rows + 1).count() <= rows
 
 
-def choose_strategy(queries: DataFrame) -> str:
-    n = queries.limit(BROADCAST_ROWS + 1).count()
-    return "expr" if n <= EXPR_ROWS else "broadcast" if n <= BROADCAST_ROWS else "block"
+def choose_strategy(queries: DataFrame) -> tuple[str, pa.Table]:
+    """The strategy for a query set (query_id, vec), and its first rows: all of them unless the strategy is "block"."""
+    first = queries.select("query_id", "vec").limit(BROADCAST_ROWS + 1).toArrow()
+    n = first.num_rows
+    return "expr" if n <= EXPR_ROWS else "broadcast" if n <= BROADCAST_ROWS else "block", first
