@@ -139,8 +139,8 @@ def test_suffix_filter_bounds_hold():
         for g in np.intersect1d(*(x[:m] for x, m in zip(sets, many, strict=True))):
             pos = np.array([int(np.nonzero(x == g)[0][0]) for x in sets])
             t = np.stack([tail[pos[0]], tail[many[0] + pos[1]]])
-            cols = [np.array([1, 2]), size, pos, np.zeros(2, int), np.array([1, 2]), np.zeros(2, int), np.ones(2, int), np.zeros(2, int), t, parity]
-            j, need, most = op5_ngram_join.likely([c[order] for c in cols], 0, 0, 85, 100)
+            cols = [np.array([1, 2]), size, pos, np.zeros(2, int), np.array([1, 2]), np.zeros(2, int), t, parity]
+            j, need, most = op5_ngram_join.likely([c[order] for c in cols], op5_ngram_join.ALL, 0, 85, 100)
             assert len(j) == 1 and most[0] >= shared
             met = True
         assert met

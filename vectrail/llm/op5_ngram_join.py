@@ -10,7 +10,8 @@ Grams are counted exactly. Tasks send them in sorted, compressed runs, one for e
 sets; a gram that many sets of a chunk hold is sent once with its count. Where a range is counted, grams held once are
 dropped and the others go back to their chunk with their counts. Grams held once come first in every order, so a set
 whose prefix is full of them has no partner and leaves here. The postings of a common gram are dealt into tiles, so that no
-task holds all of them; where all its pairs are wanted, only postings outside its largest group go to every tile.
+task holds all of them; where all its pairs are wanted, tiles of its largest group meet tiles of the others, and these each
+other.
 
 Equal sets are one class from the start. For the groups, candidates are taken in rounds: first each class with the one
 earlier class that shares most prefix grams with it, then each group's likeliest pair with another one until none of
@@ -45,7 +46,7 @@ COMMON, OFTEN = 64, 65535
 #: Classes that a task remembers, lest it send them again.
 REMEMBERED = 200_000
 #: Postings of a gram in a tile, about.
-TILE = 128
+TILE = 256
 #: Parts of a suffix, and the largest size that is told of one.
 PARTS, PART_MOST = 8, 255
 #: Other groups to which a posting proposes a pair in a round; all pairs follow after the rounds.
@@ -456,14 +457,18 @@ def mixed_postings(shared: DataFrame, roots: DataFrame) -> DataFrame:
     return rows.join(mixed, ["gram", "tile"]).select("gram", "sig", "size", "pos", "tail", "single", "parity", "parts", "tile", "root")
 
 
-def likely(g: list[np.ndarray], x: int, i: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(j, need, shared at most) of the postings j behind i of tile x of a gram (sizes ascend) that the filters leave."""
-    sig, size, pos, single, root, tile, parts, minor, tail, parity = g
+#: Which postings of a task are compared: all, those of a gram's largest group with the others, or two tiles of the others.
+ALL, MAJOR_MINOR, TWO_TILES = 0, 1, 2
+
+
+def likely(g: list[np.ndarray], mode: int, i: int, num: int, den: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(j, need, shared at most) of the postings j behind i of a gram's task (sizes ascend) that the filters leave."""
+    sig, size, pos, single, root, tile, tail, parity = g
     # Length filter: partners are a run after i.
     j = np.arange(i + 1, int(np.searchsorted(size, den * size[i] // num, "right")))
     if len(j):
-        # Two postings that go to every tile meet in all of them and are compared in one.
-        j = j[(root[j] != root[i]) & (~(minor[i] & minor[j]).astype(bool) | ((tile[i] + tile[j]) % parts[i] == x))]
+        # In the modes that divide a gram, tile tells the two sides apart.
+        j = j[(root[j] != root[i]) & ((mode == ALL) | (tile[j] != tile[i]))]
     need = least_overlap(size[i], size[j], num, den)
     if not len(j):
         return j, need, need
@@ -485,28 +490,37 @@ def cross_pairs(mixed: DataFrame, num: int, den: int, turn: int | None = None) -
     With a turn, postings meet within tiles that change with it, each proposes only the likeliest pair with a larger set in
     each of the NEAREST likeliest other groups, and of these the likeliest of every two groups (ra, rb) stays, with its slack
     by the bound on what its sets share: no more rows than NEAREST times the postings. What this leaves out is found by a
-    call without a turn. There a gram's largest group is divided among the tiles, and the other postings go to all of them.
+    call without a turn. There each tile of a gram's largest group meets each tile of its other postings, and these tiles
+    meet each other: a task has two tiles of a gram.
     """
     one = turn is not None
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    kept = ["gram", "x", "y", "mode", "sig", "size", "pos", "single", "root", "side", "tail", "parity"]
+    whole = {"y": F.lit(0), "mode": F.lit(ALL), "side": F.lit(0)}
     if one:
-        rows = mixed.withColumns({"x": F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts")).cast("int"), "minor": F.lit(0)})
+        rows = mixed.withColumns({"x": F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts")).cast("int"), **whole}).select(*kept)
     else:
         several = mixed.where("parts > 1")
-        largest = several.groupBy("gram", "parts", "root").agg(F.count("*").alias("n")).groupBy("gram", "parts").agg(F.max_by("root", F.struct("n", "root")).alias("major"))
-        largest = largest.select("gram", "major", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"))
-        outside = (F.col("root") != F.col("major")).cast("int")
-        spread = F.explode(F.when(F.col("minor") == 1, F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("tile")))
-        dealt = several.join(largest, ["gram", "tile"]).withColumn("minor", outside).withColumn("x", spread).drop("major")
-        rows = mixed.where("parts = 1").withColumns({"minor": F.lit(0), "x": F.lit(0)}).unionByName(dealt)
-    rows = rows.select("gram", "x", "sig", "size", "pos", "single", "root", "tile", "parts", "minor", "tail", "parity")
-    dealt = rows.repartition("gram", "x").sortWithinPartitions("gram", "x", "size", "sig")
+        sizes = several.groupBy("gram", "parts", "root").agg(F.count("*").alias("n")).groupBy("gram", "parts").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
+        sizes = sizes.select("gram", "major", F.ceil(F.col("most") / TILE).cast("int").alias("majors"), F.ceil((F.col("n") - F.col("most")) / TILE).cast("int").alias("minors"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("tile"))
+        several = several.join(sizes, ["gram", "tile"])
+        place = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+        major = several.where("root = major").withColumns({"x": place("majors"), "mode": F.lit(MAJOR_MINOR), "side": F.lit(0)}).withColumn("y", every("minors"))
+        minor = several.where("root <> major").withColumn("own", place("minors"))
+        against = minor.withColumns({"y": F.col("own"), "mode": F.lit(MAJOR_MINOR), "side": F.lit(1)}).withColumn("x", every("majors"))
+        among = minor.withColumn("other", every("minors")).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other"), "side": F.col("own")})
+        among = among.withColumn("mode", F.when(F.col("x") == F.col("y"), ALL).otherwise(TWO_TILES))
+        rows = mixed.where("parts = 1").withColumns({"x": F.lit(0), **whole}).select(*kept)
+        for part in (major, against, among):
+            rows = rows.unionByName(part.select(*kept))
+    dealt = rows.repartition("gram", "x", "y", "mode").sortWithinPartitions("gram", "x", "y", "mode", "size", "sig")
 
     def run(batches):
         rest = None
         for b in batches:
             if not b.num_rows:
                 continue
-            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(10)]
+            cols = [b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(10)]  # gram to side
             cols.append(np.ascontiguousarray(b.column(10).to_numpy()).view(np.uint8).reshape(b.num_rows, PARTS).astype(np.int16))
             cols.append(np.frombuffer(b"".join(b.column(11).to_pylist()), np.uint64).reshape(b.num_rows, -1))
             if rest is not None:
@@ -518,9 +532,9 @@ def cross_pairs(mixed: DataFrame, num: int, den: int, turn: int | None = None) -
             yield from emit(rest)
 
     def changes(cols):
-        """Whether a row is the first of its gram and tile."""
+        """Whether a row is the first of its gram, tiles and mode."""
         new = np.ones(len(cols[0]), bool)
-        new[1:] = (cols[0][1:] != cols[0][:-1]) | (cols[1][1:] != cols[1][:-1])
+        new[1:] = np.any([c[1:] != c[:-1] for c in cols[:4]], axis=0)
         return new
 
     def emit(cols):
@@ -529,10 +543,10 @@ def cross_pairs(mixed: DataFrame, num: int, den: int, turn: int | None = None) -
         edge = np.append(np.nonzero(changes(cols))[0], len(cols[0]))
         held, size = [], 0
         for a, z in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
-            root = cols[6][a:z]
+            root = cols[8][a:z]
             if z - a < 2 or (root == root[0]).all():
                 continue
-            for part in of_group([c[a:z] for c in cols[2:]], int(cols[1][a])):
+            for part in of_group([c[a:z] for c in cols[4:]], int(cols[3][a])):
                 held.append(part)
                 size += len(part[0])
                 if size > 100_000:
@@ -541,10 +555,10 @@ def cross_pairs(mixed: DataFrame, num: int, den: int, turn: int | None = None) -
         if held:
             yield out(held)
 
-    def of_group(g, x):
+    def of_group(g, mode):
         sig, root = g[0], g[4]
         for i in range(len(sig) - 1):
-            j, need, most = likely(g, x, i, num, den)
+            j, need, most = likely(g, mode, i, num, den)
             if not len(j):
                 continue
             a, b = np.minimum(sig[i], sig[j]), np.maximum(sig[i], sig[j])
