@@ -9,8 +9,8 @@ import pyarrow as pa
 
 from vectrail.llm.common import M0, eights, mix, row_chunks, text_buffers
 
-#: The memory of units: slots, bytes of the longest unit that is remembered, ids. About 40 MB a worker.
-SLOTS_LOG2, UNIT_BYTES, POOL = 19, 32, 1 << 22
+#: The memory of units: slots, bytes of the longest unit that is remembered, ids. About 65 MB a worker.
+SLOTS_LOG2, UNIT_BYTES, POOL = 21, 16, 1 << 23
 #: Units that are looked up at once.
 GROUP = 1 << 16
 _encoders: dict[str, UnitEncoder] = {}
@@ -54,8 +54,8 @@ class UnitEncoder:
         self.keys = np.zeros((UNIT_BYTES // 8, n), np.uint64)
         self.size = np.zeros(n, np.uint8)
         self.start = np.zeros(n, np.int32)
-        self.count = np.zeros(n, np.int32)
-        self.pool = np.zeros(POOL, np.uint32)
+        self.count = np.zeros(n, np.uint8)  # a unit has no more ids than bytes
+        self.pool = np.zeros(POOL, np.uint16 if len(self.width) <= 1 << 16 else np.uint32)
         self.used = 0
 
     def whole(self, texts: list[str]) -> list[np.ndarray]:
@@ -137,7 +137,7 @@ class UnitEncoder:
         missed = np.nonzero(~known)[0]
         if not len(missed):
             index = np.arange(count.sum()) + np.repeat(first - (np.cumsum(count) - count), count)
-            return self.pool[index], count
+            return self.pool[index].astype(np.uint32), count
         # Each new unit once: short ones by their bytes and sizes, long ones by their bytes.
         brief = missed[fits[missed]]
         order = brief[np.lexsort((*words[:, brief], size[brief]))]
