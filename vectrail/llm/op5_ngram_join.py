@@ -498,7 +498,9 @@ def cross_pairs(mixed: DataFrame, num: int, den: int, turn: int | None = None) -
     kept = ["gram", "x", "y", "mode", "sig", "size", "pos", "single", "root", "side", "tail", "parity"]
     whole = {"y": F.lit(0), "mode": F.lit(ALL), "side": F.lit(0)}
     if one:
-        rows = mixed.withColumns({"x": F.pmod(F.xxhash64("sig", F.lit(turn)), F.col("parts")).cast("int"), **whole}).select(*kept)
+        # Half a tile, since nothing meets it.
+        halves = F.pmod(F.xxhash64("sig", F.lit(turn)), 2 * F.col("parts")).cast("int")
+        rows = mixed.withColumns({"x": F.when(F.col("parts") > 1, halves).otherwise(0), **whole}).select(*kept)
     else:
         several = mixed.where("parts > 1")
         sizes = several.groupBy("gram", "parts", "root").agg(F.count("*").alias("n")).groupBy("gram", "parts").agg(F.max_by("root", F.struct("n", "root")).alias("major"), F.max("n").alias("most"), F.sum("n").alias("n"))
@@ -595,8 +597,8 @@ def one_each(pairs: DataFrame) -> DataFrame:
     return ends.groupBy("root").agg(best).select("p.a", "p.b").distinct()
 
 
-def members(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
-    """(doc_id, key, n_shingles, root) of every row of docs; root, null without words, names the row's group."""
+def members(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tuple[DataFrame, int]:
+    """(doc_id, key, n_shingles, root) of every row of docs; root, null without words, names the row's group. And the rows' number."""
     described, salt = described_rows(docs, n)
     total, rows = described.agg(F.sum("n_shingles"), F.count("*")).first()
     total = total or 0
@@ -605,6 +607,7 @@ def members(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
     shared = written(shared_postings(prefixes(sets, num, den)), "shared")
     postings = written(dealt_postings(shared, sets.select("sig", "single", "parity")), "postings")
     forget(shared)
+    n_postings = postings.count()
     before = Window.partitionBy("gram", "tile").orderBy("size", "sig")
     near = postings.select(F.lag("sig").over(before).alias("a"), F.lag("size").over(before).alias("a_size"), F.col("sig").alias("b"), "size").where(F.col("a").isNotNull() & (den * F.col("a_size") >= num * F.col("size")))
     # A gram that few classes share says most about a pair, and in such a group neighbours are few.
@@ -613,7 +616,7 @@ def members(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
     roots = components(verify(sets, tried, num, den), rows)
     for turn in itertools.count():
         # Each group is tied to its likeliest neighbour, as often as that links, before all pairs are looked at.
-        last, postings = postings, written(mixed_postings(postings, roots), "mixed")
+        last, postings = postings, written(mixed_postings(postings, roots), "mixed", n_postings)
         forget(last)
         pairs = written(one_each(cross_pairs(postings, num, den, turn).join(tried, ["a", "b"], "left_anti")), "group-pairs", rows)
         more = written(verify(sets, pairs, num, den), "group-links", rows)
@@ -628,7 +631,7 @@ def members(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Data
     if more.limit(1).count():
         roots = regrouped(roots, more, rows)
     rooted = described.join(roots.withColumnRenamed("node", "sig"), "sig", "left")
-    return rooted.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sig")).alias("root"))
+    return rooted.select("doc_id", "key", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "sig")).alias("root")), rows
 
 
 def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataFrame:
@@ -638,20 +641,21 @@ def groups(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> DataF
     component of their text but never name one; equal rows are linked to each other. Texts are whole, however long; an empty
     table gives no row, and columns other than doc_id and text are not read.
     """
-    rows = written(members(docs, n, num, den), "members")
+    rows, total = members(docs, n, num, den)
+    rows = written(rows, "members", total)
     least = rows.where("root IS NOT NULL").groupBy("root").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("n")).where("n > 1")
-    named = with_group(rows, least.select("root", "component_id"), "left")
+    named = with_group(rows, least.select("root", "component_id"), "left", total)
     # A group of one row has no entry, and a row without words no group: their own id.
     alone = F.col("component_id").isNull() & ~F.col("grouped")
     return named.select("doc_id", "n_shingles", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
-def with_group(rows: DataFrame, of_group: DataFrame, how: str) -> DataFrame:
+def with_group(rows: DataFrame, of_group: DataFrame, how: str, total: int) -> DataFrame:
     """rows with what of_group (root, ..) has of their group, and grouped, whether it has anything.
 
     Few groups are broadcast. More are shuffled, each several times, so that the rows of a large one are spread.
     """
-    of_group = written(of_group.withColumn("grouped", F.lit(True)), "of-group")
+    of_group = written(of_group.withColumn("grouped", F.lit(True)), "of-group", total)
     if small(of_group, BROADCAST_IDS):
         out = rows.join(F.broadcast(of_group), "root", how)
     else:
@@ -666,15 +670,16 @@ def keep_one(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> Dat
     Rows without words all stay. Of rows that repeat the id and the text of the one that stays, one stays, any of them.
     Columns may have any names; an empty table stays empty.
     """
-    rows = written(members(docs, n, num, den).where("root IS NOT NULL"), "members")
+    rows, total = members(docs, n, num, den)
+    rows = written(rows.where("root IS NOT NULL"), "members", total)
     name = uuid.uuid4().hex
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")
     best = rows.groupBy("root").agg(F.min(order).alias("best"), F.count("*").alias("n")).where("n > 1")
-    named = with_group(rows, best.select("root", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key")), "inner")
+    named = with_group(rows, best.select("root", F.col("best.doc_id").alias("best_id"), F.col("best.key").alias("best_key")), "inner", total)
     stays = F.col("doc_id").eqNullSafe(F.col("best_id")) & (F.col("key") == F.col("best_key"))
-    gone = written(named.where(~stays).select(F.col("doc_id").alias(f"id_{name}"), F.col("key").alias(f"key_{name}")).distinct(), "gone")
+    gone = written(named.where(~stays).select(F.col("doc_id").alias(f"id_{name}"), F.col("key").alias(f"key_{name}")).distinct(), "gone", total)
     twice = named.where(stays).groupBy("doc_id", "key").count().where("count > 1").select(F.col("doc_id").alias(f"id_{name}"), F.col("key").alias(f"key_{name}"))
-    twice = written(twice, "twice")
+    twice = written(twice, "twice", total)
     same = lambda: docs["doc_id"].eqNullSafe(F.col(f"id_{name}")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col(f"key_{name}"))
     side = lambda df: F.broadcast(df) if small(df, BROADCAST_IDS) else df
     left = docs.join(side(gone), same(), "left_anti")
