@@ -18,7 +18,7 @@ CHUNK = 1 << 18
 #: Bytes of an Arrow batch between the JVM and a Python worker, where the session has Spark's default of 64 MB.
 BATCH_BYTES = "4m"
 #: Rows of a file, at least, where the number of rows is known.
-FILE_ROWS = 100_000
+FILE_ROWS = 20_000
 #: Words of more bytes are hashed one by one.
 LONG_WORD = 256
 # Multipliers of the hashes: odd, otherwise arbitrary.

@@ -7,7 +7,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.llm.common import FILE_ROWS, forget, map_batches, written
+from vectrail.llm.common import forget, map_batches, written
+
+#: Edges of a partition, at least.
+PART_EDGES = 100_000
 
 
 def least_labels(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -43,13 +46,13 @@ def contracted(edges: DataFrame, parts: int) -> DataFrame:
 def components(edges: DataFrame, rows: int | None = None) -> DataFrame:
     """(node, root) of every node of edges (a, b long), root the smallest node of its component; rows bounds the edges.
 
-    A partition has FILE_ROWS edges or more. Union: each partition's edges become stars, so that long chains collapse without a
+    A partition has PART_EDGES edges or more. Union: each partition's edges become stars, so that long chains collapse without a
     shuffle. Large star: each node's larger neighbours are tied to the smallest node around it. Small star: a node's smaller
     neighbours and itself are tied to the smallest of them. Repeated until only stars are left, in about log n rounds.
     """
     e = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     e = written(e, "edges", rows)
-    parts = max(1, (e.count() if rows is None else rows) // FILE_ROWS)
+    parts = max(1, (e.count() if rows is None else rows) // PART_EDGES)
     last, e = e, written(contracted(e, parts), "stars", rows)
     forget(last)
     while parts > 1 and not is_stars(e):

@@ -163,8 +163,9 @@ def describe(docs: DataFrame, n: int, salt: int = 0) -> DataFrame:
 
 def described_rows(docs: DataFrame, n: int) -> tuple[DataFrame, int]:
     """(rows as described, salt): no two different sets have the same sig."""
+    rows = docs.count()
     for salt in itertools.count():
-        described = written(describe(docs, n, salt), "described")
+        described = written(describe(docs, n, salt), "described", rows)
         twins = described.groupBy("sig").agg(F.min("check").alias("a"), F.max("check").alias("b"), F.min("n_shingles").alias("c"), F.max("n_shingles").alias("d")).where("a <> b OR c <> d")
         if not twins.limit(1).count():
             return described, salt
@@ -603,9 +604,9 @@ def members(docs: DataFrame, n: int = N, num: int = NUM, den: int = DEN) -> tupl
     total, rows = described.agg(F.sum("n_shingles"), F.count("*")).first()
     total = total or 0
     ranges_log2 = min(24, (total // RANGE_GRAMS).bit_length())
-    sets = written(candidates(counted(gram_runs(docs, n, ranges_log2, salt)), num, den), "sets")
-    shared = written(shared_postings(prefixes(sets, num, den)), "shared")
-    postings = written(dealt_postings(shared, sets.select("sig", "single", "parity")), "postings")
+    sets = written(candidates(counted(gram_runs(docs, n, ranges_log2, salt)), num, den), "sets", rows)
+    shared = written(shared_postings(prefixes(sets, num, den)), "shared", rows)
+    postings = written(dealt_postings(shared, sets.select("sig", "single", "parity")), "postings", rows)
     forget(shared)
     n_postings = postings.count()
     before = Window.partitionBy("gram", "tile").orderBy("size", "sig")
