@@ -10,13 +10,23 @@ from pyspark.sql import functions as F
 from vectrail.operators.block import DDL, GROUP_BYTES, SHARE_BYTES, TopK, _row_bytes
 from vectrail.operators.kmeans import assign, centroids_frame, kmeans, matrix, rank_distances, unit
 from vectrail.operators.knn import check_dims, top_k
-from vectrail.plans.planner import BROADCAST_ROWS, at_most
+from vectrail.plans.planner import choose_strategy
 from vectrail.types import DataType, Metric
 
 #: Up to so many lists are named in the scan's filter, so that folders of others are not read.
 PRUNED_LISTS = 1000
 
 
+#: Multiplications that the driver does to find the lists of a broadcast query set; more are left to tasks.
+DRIVER_WORK = 1 << 30
+
+
+def nearest_lists(m: np.ndarray, centroids: np.ndarray, n_probe: int, metric: Metric) -> np.ndarray:
+    """The n_probe nearest lists of each row, ties to the lower list."""
+    d = rank_distances(unit(m) if metric is Metric.COSINE else m, centroids, metric)
+    return np.argsort(d, axis=1, kind="stable")[:, :n_probe]
+
+
 def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, metric: Metric) -> DataFrame:
     """(query_id, vec, list_id) of each query's n_probe nearest lists, ties to the lower list."""
     held = queries.sparkSession.sparkContext.broadcast(centroids)
@@ -25,25 +35,17 @@ def probe(queries: DataFrame, centroids: np.ndarray, n_probe: int, metric: Metri
         for b in batches:
             if not b.num_rows:
                 continue
-            m = matrix(b.column(1))
-            d = rank_distances(unit(m) if metric is Metric.COSINE else m, held.value, metric)
-            lists = np.argsort(d, axis=1, kind="stable")[:, :n_probe]
+            lists = nearest_lists(matrix(b.column(1)), held.value, n_probe, metric)
             rows = np.repeat(np.arange(b.num_rows), lists.shape[1])
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(rows)), b.column(1).take(pa.array(rows)), pa.array(lists.ravel().astype(np.int32))], ["query_id", "vec", "list_id"])
 
     return queries.select("query_id", "vec").mapInArrow(run, f"query_id long, vec {queries.schema['vec'].dataType.simpleString()}, list_id int")
 
 
-def search_broadcast(probes: DataFrame, lists: DataFrame, k: int, metric: Metric, n_lists: int) -> DataFrame:
+def search_broadcast(qids: np.ndarray, q: np.ndarray, number: np.ndarray, of_list: np.ndarray, lists: DataFrame, k: int, metric: Metric, n_lists: int) -> DataFrame:
     """Candidates (query_id, id, distance) of queries whose number the caller has checked: they travel with the tasks, the
-    lists stay where they are, and rows of lists that no query probes are not looked at."""
-    got = probes.toArrow().combine_chunks()
-    if not got.num_rows:
-        return lists.sparkSession.createDataFrame([], DDL)
-    qids, first, number = np.unique(got["query_id"].to_numpy(), return_index=True, return_inverse=True)
-    q = matrix(got["vec"].combine_chunks().take(pa.array(first)))
+    lists stay where they are, and rows of lists that no query probes are not looked at. Query number[i] probes of_list[i]."""
     # The queries of list l are by_list[first[l] : first[l + 1]].
-    of_list = got["list_id"].to_numpy()
     by_list = number[np.lexsort((number, of_list))]
     first = np.searchsorted(np.sort(of_list), np.arange(n_lists + 1))
     held = lists.sparkSession.sparkContext.broadcast((qids, q, by_list, first))
@@ -120,6 +122,7 @@ class IVFIndex:
         self.n_probe = min(n_probe, n_lists)
         self.centroids: np.ndarray | None = None
         self.lists: DataFrame | None = None
+        self._filled = False  # whether a row is known to be there
 
     @property
     def is_trained(self) -> bool:
@@ -161,20 +164,36 @@ class IVFIndex:
         """
         if not self.is_trained:
             raise RuntimeError("train the index before it is searched")
-        if self.lists is None or not self.lists.limit(1).count():
+        self._filled = self._filled or (self.lists is not None and self.lists.limit(1).count() > 0)
+        if not self._filled:
             raise RuntimeError("the index is empty")
-        check_dims(queries, self.dim)
-        probes = probe(queries, self.centroids, self.n_probe, self.metric)
-        if strategy == "broadcast" or (strategy == "auto" and at_most(queries, BROADCAST_ROWS)):
-            near = search_broadcast(probes, self.lists, k, self.metric, self.n_lists)
-        else:
-            near = search_dealt(probes, self.lists, k, self.metric)
-        found = top_k(near, k)
+        found = top_k(self._candidates(queries, k, strategy), k)
         if not pad:
             return found
         slots = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(min(k, self.size())))).alias("rank")) if k > 0 else queries.select("query_id", F.lit(1).alias("rank")).limit(0)
         return slots.join(found, ["query_id", "rank"], "left").select("query_id", "rank", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
 
+    def _candidates(self, queries: DataFrame, k: int, strategy: str) -> DataFrame:
+        few, first = choose_strategy(queries) if strategy == "auto" else (strategy, None)
+        if few in ("block", "dealt"):
+            check_dims(queries, self.dim)
+            return search_dealt(probe(queries, self.centroids, self.n_probe, self.metric), self.lists, k, self.metric)
+        held = (queries.select("query_id", "vec").toArrow() if first is None else first).combine_chunks()
+        if not held.num_rows:
+            return queries.sparkSession.createDataFrame([], DDL)
+        vec = held["vec"].combine_chunks()
+        if len(vec.flatten()) != held.num_rows * self.dim or (np.diff(np.asarray(vec.offsets)) != self.dim).any():
+            raise ValueError(f"a vector's dimension differs from {self.dim}")
+        qids, q = held["query_id"].to_numpy(), matrix(vec)
+        if q.size * self.n_lists <= DRIVER_WORK:
+            lists = nearest_lists(q, self.centroids, self.n_probe, self.metric)
+            number, of_list = np.repeat(np.arange(len(q)), lists.shape[1]), lists.ravel()
+        else:
+            got = probe(queries, self.centroids, self.n_probe, self.metric).select("query_id", "list_id").distinct().toArrow().combine_chunks()
+            order = np.argsort(qids, kind="stable")
+            number, of_list = order[np.searchsorted(qids[order], got["query_id"].to_numpy())], got["list_id"].to_numpy()
+        return search_broadcast(qids, q, number, of_list.astype(np.int64), self.lists, k, self.metric, self.n_lists)
+
     def list_sizes(self) -> DataFrame:
         return self.lists.groupBy("list_id").agg(F.count("*").alias("n"))
 
