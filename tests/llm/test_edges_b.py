@@ -115,6 +115,34 @@ def test_common_grams_in_small_tiles(spark, monkeypatch, tile):
     assert kept == sorted({c for _, c in want.values()})
 
 
+def stages(spark):
+    """Rows that each of the last stages wrote for a shuffle."""
+    sc, jvm = spark.sparkContext, spark._jvm
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    found = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(x := found.apply(i)).stageId(): x.shuffleWriteRecords() for i in range(found.size())}
+
+
+@pytest.mark.parametrize("bound", [200_000, 2])
+def test_verifying_few_pairs_moves_few_sets(spark, monkeypatch, bound):
+    monkeypatch.setattr(op5_ngram_join, "BROADCAST_IDS", bound)
+    grams = [np.arange(100 * i, 100 * i + 20, dtype=np.uint64) for i in range(3000)]
+    grams[1] = np.append(grams[0][:19], grams[1][:1])
+    rows = [(i, 20, bytearray(g.tobytes())) for i, g in enumerate(grams)]
+    sets = op5_ngram_join.written(spark.createDataFrame(rows, "sig long, size long, grams binary"), "sets")
+    pairs = op5_ngram_join.written(spark.createDataFrame([(0, 1), (0, 2), (7, 2900)], "a long, b long"), "pairs")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = stages(spark)
+        got = op5_ngram_join.verify(sets, pairs, 85, 100).collect()
+        moved = sum(n for k, n in stages(spark).items() if k not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert [tuple(r) for r in got] == [(0, 1)]
+    assert moved < 50 or bound == 2
+
+
 def test_suffix_filter_bounds_hold():
     """No pair that is similar is dropped, by any of its common grams."""
     rng = np.random.default_rng(1)

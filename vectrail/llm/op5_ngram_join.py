@@ -51,7 +51,7 @@ TILE = 256
 PARTS, PART_MOST = 8, 255
 #: Other groups to which a posting proposes a pair in a round; all pairs follow after the rounds.
 NEAREST = 4
-#: Rows to drop are broadcast up to this number (under 20 MB), else a shuffled join follows.
+#: Rows to drop, and pairs to verify, are broadcast up to this number (under 20 MB), else a shuffled join follows.
 BROADCAST_IDS = 200_000
 #: Tasks among which the rows of a group are spread where groups are joined by a shuffle.
 SALTS = 8
@@ -431,9 +431,16 @@ def dealt_postings(shared: DataFrame, bits: DataFrame) -> DataFrame:
 
 
 def verify(sets: DataFrame, pairs: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets are similar: what two of them share is among the grams held twice."""
+    """The pairs (a, b) of classes whose whole sets are similar: what two of them share is among the grams held twice.
+
+    Few pairs are broadcast to the sets, so that only sets that a pair names are shuffled, however many rounds there are. For more
+    all sets are.
+    """
     side = lambda k: sets.select(F.col("sig").alias(k), F.col("size").alias(f"s{k}"), F.col("grams").alias(f"g{k}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb", "ga", "gb")
+    first, second = side("a"), side("b")
+    if small(pairs, BROADCAST_IDS):
+        pairs, second = F.broadcast(pairs), second.join(F.broadcast(pairs.select("b").distinct()), "b", "left_semi")
+    both = pairs.join(first, "a").join(second, "b").select("a", "b", "sa", "sb", "ga", "gb")
 
     def compare(batches):
         for b in batches:
