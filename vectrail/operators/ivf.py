@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.operators.block import DDL, GROUP_BYTES, SHARE_BYTES, TopK, _row_bytes
+from vectrail.operators.block import DDL, GROUP_BYTES, SHARE_BYTES, Nearest, TopK, _cells, search_cells, sizes
 from vectrail.operators.kmeans import assign, centroids_frame, kmeans, matrix, rank_distances, unit
 from vectrail.operators.knn import check_dims, top_k
 from vectrail.plans.planner import choose_strategy
@@ -64,7 +64,7 @@ def search_broadcast(qids: np.ndarray, q: np.ndarray, number: np.ndarray, of_lis
                 who = by_list[first[lists[rows[0]]] : first[lists[rows[0]] + 1]]
                 if len(who):
                     best.add(m[rows], ids[rows], who)
-        yield from best.batch(qids)
+        yield from best.batches(qids)
 
     asked = np.unique(of_list).tolist()
     return lists.where(F.col("list_id").isin(asked) if len(asked) < min(n_lists, PRUNED_LISTS) else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
@@ -73,41 +73,9 @@ def search_broadcast(qids: np.ndarray, q: np.ndarray, number: np.ndarray, of_lis
 def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric) -> DataFrame:
     """The same for any number of queries: a task holds a group of the queries of one list and streams a share of the list
     past it. Large lists have several shares, and lists that many queries probe have several groups."""
-    share = lambda df, size: F.greatest(F.lit(1), F.ceil(F.col("n") * _row_bytes(df, DataType.DENSE_FLOAT) / size)).cast("int")
-    shares = lists.groupBy("list_id").agg(F.count("*").alias("n")).select("list_id", share(lists, SHARE_BYTES).alias("shares"))
-    groups = probes.groupBy("list_id").agg(F.count("*").alias("n")).select("list_id", share(probes, GROUP_BYTES).alias("groups"))
-    sizes = F.broadcast(shares.join(groups, "list_id"))  # a row for each list
-    vec = F.col("vec").cast("array<double>").alias("vec")
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = probes.join(sizes, "list_id").select("list_id", F.pmod(F.xxhash64("query_id"), F.col("groups")).cast("int").alias("qb"), each("shares").alias("part"), F.lit(0).alias("side"), F.col("query_id").alias("id"), vec)
-    right = lists.join(sizes, "list_id").select("list_id", each("groups").alias("qb"), F.pmod(F.xxhash64("id"), F.col("shares")).cast("int").alias("part"), F.lit(1).alias("side"), "id", vec)
-    dealt = left.unionByName(right).repartition("list_id", "qb", "part").sortWithinPartitions("list_id", "qb", "part", "side")
-
-    def run(batches):
-        key, held, qids, best = None, [], None, None
-        for b in batches:
-            if not b.num_rows:
-                continue
-            names = np.stack([b.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
-            edge = [0, *(np.nonzero((names[1:] != names[:-1]).any(axis=1))[0] + 1).tolist(), len(names)]
-            for lo, hi in zip(edge[:-1], edge[1:], strict=True):
-                part, now, side = b.slice(lo, hi - lo), tuple(names[lo, :3]), names[lo, 3]
-                ids, m = part.column(4).to_numpy(), matrix(part.column(5))
-                if now != key:
-                    if best is not None:
-                        yield from best.batch(qids)
-                    key, held, best = now, [], None
-                if side == 0:
-                    held.append((ids, m))
-                elif held or best is not None:
-                    if best is None:
-                        qids = np.concatenate([h[0] for h in held])
-                        best, held = TopK(np.concatenate([h[1] for h in held]), k, DataType.DENSE_FLOAT, metric), []
-                    best.add(m, ids)
-        if best is not None:
-            yield from best.batch(qids)
-
-    return dealt.mapInArrow(run, DDL)
+    dtype = DataType.DENSE_FLOAT
+    cells = _cells(sizes(probes, dtype), sizes(lists, dtype), k, lists.sparkSession.sparkContext.defaultParallelism, GROUP_BYTES, SHARE_BYTES)
+    return search_cells(probes.select("query_id", "vec", "list_id"), lists.select("id", "vec", "list_id"), cells, dtype, lambda ids, m: Nearest(ids, m, k, dtype, metric), DDL, k)
 
 
 class IVFIndex:
