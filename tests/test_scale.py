@@ -4,13 +4,27 @@ import numpy as np
 import pytest
 
 from vectrail.operators import block
+from vectrail.operators.knn import knn_join, sparse_apart, sparse_dots
+from vectrail.plans import catalog
+from vectrail.sources.tables import as_queries
 from vectrail.types import DataType, Metric
 
+SPARSE = "id long, vec struct<dim:int,indices:array<int>,values:array<float>>"
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def packed(m):
     offsets = np.concatenate([[0], np.cumsum((m != 0).sum(axis=1))])
     return offsets, np.nonzero(m)[1].astype(np.int32), m[m != 0]
 
 
+def sparse_frame(spark, m):
+    return spark.createDataFrame([(i, (len(r), [int(j) for j in np.nonzero(r)[0]], [float(x) for x in r[r != 0]])) for i, r in enumerate(m)], SPARSE)
+
+
 @pytest.mark.parametrize("kind", ["zero vectors", "empty bits"])
 def test_ties_are_not_candidates(monkeypatch, kind):
     """Most rows are one vector, which ties with all others: no candidate for each pair of them."""
@@ -40,6 +54,19 @@ def test_ties_are_not_candidates(monkeypatch, kind):
     assert all(got[q] == first for q in zero) and met[0] < 3000 * 100
 
 
+def test_pairs_are_not_shuffled(spark):
+    rng = np.random.default_rng(7)
+    m = np.where(rng.random((80, 12)) < 0.3, rng.integers(1, 4, (80, 12)), 0).astype(float)
+    m[0], m[1] = 0, 0
+    m[0, :2], m[1, :2] = (1, 1), (1, -1)  # these share dimensions, and their product is 0
+    s = sparse_frame(spark, m)
+    dots = sparse_dots(as_queries(s), s)
+    assert "Join" not in plan(dots) and "hashpartitioning(query_id" not in plan(dots)
+    met = (m != 0).astype(float) @ (m != 0).T
+    assert {(r.query_id, r.id): r.dot for r in dots.collect()} == {(i, j): (m @ m.T)[i, j] for i, j in zip(*np.nonzero(met), strict=True)}
+    assert {r.query_id: r.apart for r in sparse_apart(as_queries(s), s).collect()} == dict(enumerate((m @ m.T == 0).sum(axis=1).tolist()))
+
+
 @pytest.mark.parametrize("rows", [10_000, 600_000, 20_000_000])
 def test_cells_are_bounded(rows):
     cells = block._cells({0: (rows, rows * 256)}, {0: (rows, rows * 256)}, 10, 12, block.GROUP_BYTES, block.SHARE_BYTES)
@@ -55,3 +82,8 @@ def test_sparse_products_in_parts(monkeypatch):
     whole = block._dots(e, e)
     monkeypatch.setattr(block, "PRODUCTS", 3)
     assert np.array_equal(block._dots(e, e), whole) and np.allclose(whole, m @ m.T)
+
+
+def test_rounding_of_pairs(spark):
+    df = spark.createDataFrame([(x,) for x in (0.1234565, -0.1234565, 1e12 / 7, -1e-9, 2.5, 0.0)], "dot double")
+    assert [r.dot for r in catalog.rounded_pairs(df, "dot").collect()] == [0.123457, -0.123457, round(1e12 / 7, 6), 0.0, 2.5, 0.0]
