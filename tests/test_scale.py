@@ -54,6 +54,19 @@ def test_ties_are_not_candidates(monkeypatch, kind):
     assert all(got[q] == first for q in zero) and met[0] < 3000 * 100
 
 
+@pytest.mark.parametrize("metric,strategy", [(Metric.L2, "expr"), (Metric.COSINE, "expr"), (Metric.L2, "inverted"), (Metric.COSINE, "inverted")])
+def test_many_queries_make_no_row_for_each_pair(spark, metric, strategy):
+    rng = np.random.default_rng(6)
+    m = np.where(rng.random((60, 9)) < 0.3, rng.integers(-3, 4, (60, 9)), 0).astype(float)
+    s = sparse_frame(spark, m)
+    many = knn_join(as_queries(s), s, 4, DataType.SPARSE_FLOAT, metric, strategy)
+    assert "Join" not in plan(many)
+    few = knn_join(as_queries(s.where("id < 20")), s, 4, DataType.SPARSE_FLOAT, metric, strategy)
+    key = lambda rows: {(r.query_id, r["rank"]): (r.id, round(r.distance, 6)) for r in rows}
+    found = key(many.collect())
+    assert len(found) == 240 and all(found[k] == v for k, v in key(few.collect()).items())
+
+
 def test_pairs_are_not_shuffled(spark):
     rng = np.random.default_rng(7)
     m = np.where(rng.random((80, 12)) < 0.3, rng.integers(1, 4, (80, 12)), 0).astype(float)
