@@ -100,3 +100,8 @@ def test_sparse_products_in_parts(monkeypatch):
 def test_rounding_of_pairs(spark):
     df = spark.createDataFrame([(x,) for x in (0.1234565, -0.1234565, 1e12 / 7, -1e-9, 2.5, 0.0)], "dot double")
     assert [r.dot for r in catalog.rounded_pairs(df, "dot").collect()] == [0.123457, -0.123457, round(1e12 / 7, 6), 0.0, 2.5, 0.0]
+
+
+def test_recall_sweep_searches_once(spark):
+    """The exact search is not a part of the plan for each number of lists."""
+    assert "MapInArrow" not in plan(catalog.QUERIES["ivf_recall_sweep"](spark, "/root/testdata/sf0.001"))
