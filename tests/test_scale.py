@@ -4,9 +4,10 @@ import numpy as np
 import pytest
 
 from vectrail.operators import block
+from vectrail.operators.ivf import IVFIndex
 from vectrail.operators.knn import knn_join, sparse_apart, sparse_dots
 from vectrail.plans import catalog
-from vectrail.sources.tables import as_queries
+from vectrail.sources.tables import as_queries, clustered
 from vectrail.types import DataType, Metric
 
 SPARSE = "id long, vec struct<dim:int,indices:array<int>,values:array<float>>"
@@ -103,5 +104,15 @@ def test_rounding_of_pairs(spark):
 
 
 def test_recall_sweep_searches_once(spark):
-    """The exact search is not a part of the plan for each number of lists."""
-    assert "MapInArrow" not in plan(catalog.QUERIES["ivf_recall_sweep"](spark, "/root/testdata/sf0.001"))
+    """One exact search, and one of the lists: numbers and places of lists, two sides in blocks and the search."""
+    assert plan(catalog.QUERIES["ivf_recall_sweep"](spark, "/root/testdata/sf0.001")).count("MapInArrow") <= 6
+
+
+def test_searches_for_several_numbers_of_lists(spark):
+    data = clustered(spark, 300, 6, 5).cache()
+    q = as_queries(data)
+    index = IVFIndex(Metric.COSINE, 5, 5).train(data, 2).add(data)
+    rows = sorted(tuple(r) for r in index.search_each(q, 4, [1, 3, 5]).collect())
+    for n in (1, 3, 5):
+        index.set_n_probe(n)
+        assert [r[1:] for r in rows if r[0] == n] == sorted(tuple(r) for r in index.search(q, 4).collect())

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vectrail.operators.block import DDL, GROUP_BYTES, SHARE_BYTES, Nearest, TopK, _cells, search_cells, sizes
+from vectrail.operators.block import DDL, GROUP_BYTES, SHARE_BYTES, TILE_QUERIES, Nearest, TopK, _cells, search_cells, sizes
 from vectrail.operators.kmeans import assign, centroids_frame, kmeans, matrix, rank_distances, unit
 from vectrail.operators.knn import check_dims, top_k
 from vectrail.plans.planner import choose_strategy
@@ -70,12 +70,28 @@ def search_broadcast(qids: np.ndarray, q: np.ndarray, number: np.ndarray, of_lis
     return lists.where(F.col("list_id").isin(asked) if len(asked) < min(n_lists, PRUNED_LISTS) else F.lit(True)).select("id", "vec", "list_id").mapInArrow(run, DDL)
 
 
-def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric) -> DataFrame:
+class _Placed(Nearest):
+    """The k nearest of one list, and which place the list has among those nearest to the query."""
+
+    def __init__(self, query_ids: np.ndarray, q: np.ndarray, k: int, metric: Metric, name: int, centroids: np.ndarray):
+        super().__init__(query_ids, q, k, DataType.DENSE_FLOAT, metric)
+        self.place = np.concatenate([(nearest_lists(self.best.q[at : at + TILE_QUERIES].astype(np.float64), centroids, len(centroids), metric) == name).argmax(axis=1) for at in range(0, len(self.best.q), TILE_QUERIES)])
+
+    def finish(self):
+        return self.best.batches(self.query_ids, self.of, self.place)
+
+
+def search_dealt(probes: DataFrame, lists: DataFrame, k: int, metric: Metric, centroids: np.ndarray | None = None) -> DataFrame:
     """The same for any number of queries: a task holds a group of the queries of one list and streams a share of the list
-    past it. Large lists have several shares, and lists that many queries probe have several groups."""
-    dtype = DataType.DENSE_FLOAT
-    cells = _cells(sizes(probes, dtype), sizes(lists, dtype), k, lists.sparkSession.sparkContext.defaultParallelism, GROUP_BYTES, SHARE_BYTES)
-    return search_cells(probes.select("query_id", "vec", "list_id"), lists.select("id", "vec", "list_id"), cells, dtype, lambda ids, m: Nearest(ids, m, k, dtype, metric), DDL, k)
+    past it. Large lists have several shares, and lists that many queries probe have several groups. Where centroids are
+    given, each row has the place of its list among the query's, from 0."""
+    dtype, spark = DataType.DENSE_FLOAT, lists.sparkSession
+    cells = _cells(*sizes(probes, lists, dtype), k, spark.sparkContext.defaultParallelism, GROUP_BYTES, SHARE_BYTES)
+    q, c = probes.select("query_id", "vec", "list_id"), lists.select("id", "vec", "list_id")
+    if centroids is None:
+        return search_cells(q, c, cells, dtype, lambda _, ids, m: Nearest(ids, m, k, dtype, metric), DDL, k)
+    held = spark.sparkContext.broadcast(centroids)
+    return search_cells(q, c, cells, dtype, lambda name, ids, m: _Placed(ids, m, k, metric, name, held.value), f"{DDL}, place int", k)
 
 
 class IVFIndex:
@@ -141,6 +157,18 @@ class IVFIndex:
         slots = queries.select("query_id", F.explode(F.sequence(F.lit(1), F.lit(min(k, self.size())))).alias("rank")) if k > 0 else queries.select("query_id", F.lit(1).alias("rank")).limit(0)
         return slots.join(found, ["query_id", "rank"], "left").select("query_id", "rank", F.coalesce("id", F.lit(-1).cast("long")).alias("id"), F.coalesce("distance", F.lit(0.0)).alias("distance"))
 
+    def search_each(self, queries: DataFrame, k: int, n_probes: list[int]) -> DataFrame:
+        """(n_probe, query_id, rank, id, distance): search() for several numbers of probed lists, which reads each list once."""
+        if not self.is_trained or self.lists is None:
+            raise RuntimeError("train and fill the index before it is searched")
+        check_dims(queries, self.dim)
+        most = min(max(n_probes), self.n_lists)
+        found = search_dealt(probe(queries, self.centroids, most, self.metric), self.lists, k, self.metric, self.centroids)
+        numbers = F.array_sort(F.array(*map(F.lit, n_probes)))
+        each = found.withColumn("n_probe", F.explode(F.filter(numbers, lambda n: n > F.col("place"))))
+        best = top_k(each.select(F.struct("n_probe", "query_id").alias("query_id"), "id", "distance"), k)
+        return best.select("query_id.n_probe", "query_id.query_id", "rank", "id", "distance")
+
     def _candidates(self, queries: DataFrame, k: int, strategy: str) -> DataFrame:
         few, first = choose_strategy(queries) if strategy == "auto" else (strategy, None)
         if few in ("block", "dealt"):
