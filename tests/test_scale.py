@@ -116,3 +116,23 @@ def test_searches_for_several_numbers_of_lists(spark):
     for n in (1, 3, 5):
         index.set_n_probe(n)
         assert [r[1:] for r in rows if r[0] == n] == sorted(tuple(r) for r in index.search(q, 4).collect())
+
+
+def test_many_dimensions_are_met_at_once(monkeypatch):
+    """Work follows the entries that meet, not a loop over dimensions."""
+    rng = np.random.default_rng(9)
+    dims = rng.permutation(1 << 20)[:40_000].astype(np.int32).reshape(400, 100)
+    dims[200:] = dims[:200]  # each row and its double share all dimensions, and no others
+    dims.sort(axis=1)
+    rows = np.arange(401) * 100, dims.ravel(), rng.integers(1, 9, 40_000).astype(np.float32)
+    parts, products = [0], block._products
+
+    def counted(q, c):
+        for p in products(q, c):
+            parts[0] += 1
+            yield p
+
+    monkeypatch.setattr(block, "_products", counted)
+    qi, ids, dist = block.block_top_k(rows, rows, np.arange(400), 3, DataType.SPARSE_FLOAT, Metric.COSINE)
+    near = {q: [(i, round(d, 9)) for i, d in zip(ids[qi == q].tolist(), dist[qi == q].tolist(), strict=True)] for q in (0, 399)}
+    assert parts[0] == 1 and [i for i, _ in near[0]] == [0, 200, 1] and [i for i, _ in near[399]] == [399, 199, 0] and near[0][2][1] == near[399][2][1] == 1.0
